@@ -7,12 +7,24 @@ from pyspark.sql import functions as F
 
 from annalist.llm.groups import link_groups, representatives
 from annalist.llm.mixing import Mixture
+from annalist.llm.names import variant_pairs
 from annalist.llm.packing import pack, sized
 from annalist.llm.prose import quality
 from annalist.llm.tokens import token_count
 from annalist.storage import Workspace, table
 
 
+def _year(day: str):
+    """The year of a day since 1970-01-01; 0 is an unknown day."""
+    return F.floor(F.lit(1970) + F.nullif(F.col(day), F.lit(0)) / F.lit(365.2425)).cast("int")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    authors = table(spark, sf_dir, "author_windows").select(F.col("author_id").alias("id"), F.col("author_name").alias("name"), _year("from_day").alias("from_year"), _year("to_day").alias("to_year"))
+    works = table(spark, sf_dir, "catalogue").select(F.col("entry_id").alias("id"), F.col("creator").alias("name"), F.nullif("year_from", F.lit(0)).alias("year"))
+    return variant_pairs(authors, works).select("id_a", "id_b").distinct()
+
+
 def _linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "candidates").where("evidence = 1").select("left_id", "right_id")
 
@@ -71,7 +83,7 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id").withColumn("reasons", F.concat_ws("; ", "reasons"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_groups, p7_found, p7_containers, p8_found, p8_report, p8_used, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_groups, p7_found, p7_containers, p8_found, p8_report, p8_used, p9_found, p9_statistics)}
 
 _REACH = """with recursive e as (select distinct left_id a, right_id b from candidates where evidence = 1 and left_id <> right_id and left_id in (select mention_id from mentions) and right_id in (select mention_id from mentions)),
  u as (select a, b from e union select b, a from e),
