@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.llm.groups import link_groups, representatives
+from annalist.llm.match import matches
 from annalist.llm.mixing import Mixture
 from annalist.llm.names import variant_pairs
 from annalist.llm.packing import pack, sized
@@ -25,6 +26,20 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variant_pairs(authors, works).select("id_a", "id_b").distinct()
 
 
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = lambda c: F.nullif(F.col(c), F.lit(0))
+    rows = table(spark, sf_dir, "catalogue").select(F.col("entry_id").alias("id"), "title", "creator", "holder", known("year_from").alias("year"), known("lang_tag").alias("language"))
+    return matches(rows).toDF("entry_id_a", "entry_id_b", "confidence")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matches(spark, sf_dir).select("entry_id_a", "entry_id_b")
+
+
+def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matches(spark, sf_dir)
+
+
 def _linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "candidates").where("evidence = 1").select("left_id", "right_id")
 
@@ -83,7 +98,7 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id").withColumn("reasons", F.concat_ws("; ", "reasons"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_groups, p7_found, p7_containers, p8_found, p8_report, p8_used, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_matches, p5_found, p5_groups, p7_found, p7_containers, p8_found, p8_report, p8_used, p9_found, p9_statistics)}
 
 _REACH = """with recursive e as (select distinct left_id a, right_id b from candidates where evidence = 1 and left_id <> right_id and left_id in (select mention_id from mentions) and right_id in (select mention_id from mentions)),
  u as (select a, b from e union select b, a from e),
