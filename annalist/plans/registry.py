@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from annalist.plans import problems
+from pyspark.sql import DataFrame, SparkSession
 
-QUERIES = dict(problems.QUERIES)
-ORACLE = dict(problems.ORACLE)
+from annalist.plans import facts, problems, texts, works
 
+BOOKS = (facts.book, works.book, texts.book)
+QUERIES = problems.QUERIES | {k: q for b in BOOKS for k, q in b.queries.items()}
+ORACLE = problems.ORACLE | {k: s for b in BOOKS for k, s in b.oracle.items()}
 
-def flagship(spark, sf_dir):
-    return problems.p1_found(spark, sf_dir)
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of a span of years with their citations."""
+    return facts.cite(spark, sf_dir)
