@@ -44,8 +44,9 @@ def tei_window(text: Column) -> Column:
     year, month, day = part(1), part(2), part(3)
     month = F.when(month.between(1, 12), month)
     start = day_of_date(year, F.coalesce(month, F.lit(1)), F.lit(1))
-    after = F.when(month.isNull() | (month == 12), day_of_date(year + 1, F.lit(1), F.lit(1))).otherwise(day_of_date(year, month + 1, F.lit(1)))
-    last = F.when(month.isNull(), last_day_of_year(year)).otherwise(after - 1)
+    leap = F.when((F.pmod(year, F.lit(4)) == 0) & ((F.pmod(year, F.lit(100)) != 0) | (F.pmod(year, F.lit(400)) == 0)), 1).otherwise(0)
+    length = F.when(month.isNull(), leap + 365).when(month == 2, leap + 28).otherwise(F.lit(31) - ((month - 1) % 7) % 2)
+    last = start + length - 1
     exact = F.when(month.isNotNull() & (day >= 1) & (start + day - 1 <= last), start + day - 1)
     return F.when(year.isNotNull(), F.struct(F.coalesce(exact, start).alias("from_day"), F.coalesce(exact, last).alias("to_day")))
 

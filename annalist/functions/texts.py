@@ -24,7 +24,7 @@ def fold_words(words: Column, start: int = FNV_BASIS) -> Column:
 def name_identifier(text: Column) -> Column:
     """The identity of a name: FNV-1a over its UTF-8 bytes, 0 moved to 1. Null stays null."""
     digits = F.hex(F.encode(text, "UTF-8"))
-    octets = F.when(F.length(digits) > 0, F.transform(F.sequence(F.lit(0), F.length(digits) / 2 - 1), lambda i: F.conv(F.substring(digits, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("long")))
+    octets = F.when(F.length(digits) > 0, F.transform(F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2)), lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("long")))
     octets = F.coalesce(octets, F.array().cast("array<long>"))
     folded = fold_words(octets)
     return F.when(text.isNotNull(), F.when(folded == 0, F.lit(1)).otherwise(folded))

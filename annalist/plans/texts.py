@@ -1,3 +1,357 @@
+"""Queries about documents: identifiers, positions, lines, dates, marked-up text, grounding, rasters, signatures."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from annalist.functions import dates, markup
+from annalist.functions import texts as t
+from annalist.operators import raster
+from annalist.operators.grounding import ground
 from annalist.plans.book import Book
+from annalist.storage import table
 
 book = Book()
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FNV = """list_reduce(list_prepend(2166136261::bigint, list_transform(range(0, octet_length(encode({0}))), lambda i: ('0x' || substr(hex(encode({0})), (2 * i + 1)::bigint, 2))::bigint)), lambda h, b: (xor(h, b) * 16777619) & 4294967295)"""
+
+
+def documents(spark, d):
+    return table(spark, d, "documents")
+
+
+@book(f"with n as (select distinct doc_id, work_urn from documents where work_urn is not null) select doc_id, case when {_FNV.format('work_urn')} = 0 then 1 else {_FNV.format('work_urn')} end as identifier from n")
+def name_identifier(spark, d):
+    return documents(spark, d).where("work_urn is not null").select("doc_id", t.name_identifier(F.col("work_urn")).alias("identifier"))
+
+
+_URN = "regexp_extract(work_urn, '^urn:cts:([^:]+):([^:]+)(?::(.*))?$', {0})"
+
+
+@book(f"select doc_id, {_FNV.format('(' + _URN.format(1) + chr(124) * 2 + chr(39) + ':' + chr(39) + chr(124) * 2 + _URN.format(2) + ')')} as work from documents where work_urn is not null")
+def work_identifier(spark, d):
+    return documents(spark, d).where("work_urn is not null").select("doc_id", t.work_identifier(F.col("work_urn")).alias("work"))
+
+
+@book(f"select doc_id, nullif({_URN.format(1)}, '') as namespace, nullif({_URN.format(2)}, '') as work, nullif({_URN.format(3)}, '') as rest from documents where work_urn is not null")
+def parse_urn(spark, d):
+    urn = F.col("work_urn")
+    return documents(spark, d).where("work_urn is not null").select("doc_id", t.urn_part(urn, 1).alias("namespace"), t.urn_part(urn, 2).alias("work"), t.urn_part(urn, 3).alias("rest"))
+
+
+_LOCUS = """with p as (select doc_id, work_urn, passage, string_split(passage, '.') s from documents where passage is not null and regexp_full_match(passage, '[0-9]{1,9}([.][0-9]{1,9}){0,2}')),
+ l as (select doc_id, work_urn, passage, case when len(s) > 2 then s[len(s) - 2]::bigint else 0 end part, case when len(s) > 1 then s[len(s) - 1]::bigint else 0 end section, s[len(s)]::bigint line from p)"""
+
+
+def _loci(spark, d):
+    at = documents(spark, d).select("doc_id", "work_urn", "passage", t.passage_locus(F.col("passage")).alias("l"))
+    return at.where("l is not null").select("doc_id", "work_urn", "passage", "l.*")
+
+
+@book(f"{_LOCUS} select doc_id, part, section, line from l")
+def parse_passage(spark, d):
+    return _loci(spark, d).select("doc_id", "part", "section", "line")
+
+
+@book(f"{_LOCUS} select doc_id, passage as rendered from l")
+def render_locus(spark, d):
+    """What is parsed is rendered as it stood."""
+    return _loci(spark, d).select("doc_id", t.render_locus(F.col("part"), F.col("section"), F.col("line")).alias("rendered"))
+
+
+@book(f"{_LOCUS}, r as (select doc_id, work_urn, row_number() over (partition by work_urn order by part, section, line, doc_id) n from l where work_urn is not null) select doc_id, work_urn from r where n = 1")
+def locus_precedes(spark, d):
+    """The first passage of each work in reading order."""
+    order = F.struct("part", "section", "line", "doc_id")
+    return _loci(spark, d).where("work_urn is not null").groupBy("work_urn").agg(F.min(order).alias("f")).select(F.col("f.doc_id").alias("doc_id"), "work_urn")
+
+
+@book("select doc_id, 0::bigint as part, 0::bigint as section, n_chars as line from documents")
+def line_locus(spark, d):
+    return documents(spark, d).select("doc_id", F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("section"), F.col("n_chars").alias("line"))
+
+
+@book(f"with w as (select distinct work_urn from documents where work_urn is not null), i as (select work_urn, {_FNV.format('work_urn')} id from w) select id, min(work_urn) as name from i group by id order by id limit 50")
+def vocab_sort(spark, d):
+    """The head of the vocabulary: names by their identifiers."""
+    names = documents(spark, d).where("work_urn is not null").select("work_urn").distinct().select(t.name_identifier(F.col("work_urn")).alias("id"), F.col("work_urn").alias("name"))
+    return names.groupBy("id").agg(F.min("name").alias("name")).orderBy("id").limit(50)
+
+
+@book(f"with w as (select distinct work_urn from documents where work_urn is not null), i as (select {_FNV.format('work_urn')} id, work_urn from w) select doc_id, id, i.work_urn as name from documents d join i on i.work_urn = d.work_urn")
+def text_for(spark, d):
+    """The vocabulary joined back to what it names."""
+    docs = documents(spark, d).where("work_urn is not null").select("doc_id", "work_urn")
+    vocabulary = docs.select("work_urn").distinct().withColumn("id", t.name_identifier(F.col("work_urn")))
+    return docs.join(vocabulary, "work_urn").select("doc_id", "id", F.col("work_urn").alias("name"))
+
+
+# Lines.
+
+_LINES = """with l as (select doc_id, generate_subscripts(ls, 1) i, unnest(ls) x from (select doc_id, string_split(text, chr(10)) ls from documents where text is not null))"""
+
+
+def _lines(spark, d):
+    return documents(spark, d).where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "x")).withColumn("i", F.col("i") + 1)
+
+
+@book(f"{_LINES} select doc_id, i::bigint as line, length(regexp_extract(x, '^(#{{1,6}}) ', 1)) as depth from l where regexp_matches(x, '^#{{1,6}} ')")
+def heading_depth(spark, d):
+    return _lines(spark, d).where(F.col("x").rlike("^#{1,6} ")).select("doc_id", F.col("i").cast("long").alias("line"), F.length(F.regexp_extract("x", "^(#{1,6}) ", 1)).cast("long").alias("depth"))
+
+
+@book(f"{_LINES}, s as (select doc_id, i, x, sum(case when regexp_matches(x, '^#{{1,6}} ') then 1 else 0 end) over (partition by doc_id order by i) h, sum(case when starts_with(ltrim(x), '```') then 1 else 0 end) over (partition by doc_id order by i) f from l) select doc_id, max(h)::bigint as headings, count(*) filter (h = 0) as before_any, count(*) filter (f % 2 = 1) as fenced from s group by doc_id")
+def heading_state(spark, d):
+    """The running heading and the state of fences at each line, summed up by document."""
+    run = Window.partitionBy("doc_id").orderBy("i")
+    state = _lines(spark, d).withColumn("h", F.sum(F.when(F.col("x").rlike("^#{1,6} "), 1).otherwise(0)).over(run)).withColumn("f", F.sum(F.when(F.ltrim("x").startswith("```"), 1).otherwise(0)).over(run))
+    return state.groupBy("doc_id").agg(F.max("h").alias("headings"), F.count_if(F.col("h") == 0).alias("before_any"), F.count_if(F.col("f") % 2 == 1).alias("fenced"))
+
+
+@book("select doc_id, len(regexp_extract_all(text, '\\[\\^([0-9]{1,6})\\]')) as markers, array_to_string(regexp_extract_all(text, '\\[\\^([0-9]{1,6})\\]', 1), ',') as numbers from documents where text is not null")
+def footnote_marker(spark, d):
+    found = F.regexp_extract_all("text", F.lit(r"\[\^([0-9]{1,6})\]"), 1)
+    return documents(spark, d).where("text is not null").select("doc_id", F.size(found).cast("long").alias("markers"), F.concat_ws(",", found).alias("numbers"))
+
+
+@book("select doc_id, array_to_string(list_transform(regexp_extract_all(text, '\\[\\^([0-9]{1,6})\\]', 1), lambda n: coalesce(work_urn, 'doc') || '#ch1[^' || n || ']'), ' ') as names from documents where regexp_matches(text, '\\[\\^[0-9]{1,6}\\]')")
+def footnote_name(spark, d):
+    found = F.regexp_extract_all("text", F.lit(r"\[\^([0-9]{1,6})\]"), 1)
+    named = F.transform(found, lambda n: t.footnote_name(F.coalesce("work_urn", F.lit("doc")), F.lit(1), n))
+    return documents(spark, d).where(F.size(found) > 0).select("doc_id", F.concat_ws(" ", named).alias("names"))
+
+
+@book("select doc_id, array_to_string(regexp_extract_all(text, '\\[(S[0-9]{1,6})\\]', 1), ',') as tags from documents where regexp_matches(text, '\\[S[0-9]{1,6}\\]')")
+def source_tag(spark, d):
+    found = F.regexp_extract_all("text", F.lit(r"\[(S[0-9]{1,6})\]"), 1)
+    return documents(spark, d).where(F.size(found) > 0).select("doc_id", F.concat_ws(",", found).alias("tags"))
+
+
+_IDS = """with k as (select doc_id, unnest(regexp_extract_all(text, '[A-Z0-9-]+')) tok from documents where text is not null), c as (select doc_id, tok from k where regexp_full_match(tok, '[A-Z0-9]{2,4}-[0-9]{3}') and regexp_matches(split_part(tok, '-', 1), '[A-Z]'))"""
+
+
+def _identifiers(spark, d):
+    tokens = documents(spark, d).where("text is not null").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Z0-9-]+"), 0)).alias("tok"))
+    return tokens.where(F.col("tok").rlike(t.IDENTIFIER))
+
+
+@book(f"{_IDS} select doc_id, tok as identifier, count(*) as n from c group by all")
+def identifier_shape(spark, d):
+    return _identifiers(spark, d).groupBy("doc_id", F.col("tok").alias("identifier")).agg(F.count("*").alias("n"))
+
+
+@book(f"""{_IDS}, f as (select tok, min(doc_id) home from c group by tok), s as (select distinct split_part(tok, '-', 1) scheme from f)
+ select c.doc_id, c.tok as identifier, case when f.home = c.doc_id then 'defined' else 'resolved' end as outcome, count(*) as n from c join f using (tok) group by all""")
+def citation_resolve(spark, d):
+    """Identifiers resolved to the document that names them first."""
+    found = _identifiers(spark, d)
+    homes = found.groupBy("tok").agg(F.min("doc_id").alias("home"))
+    outcome = F.when(F.col("home") == F.col("doc_id"), "defined").otherwise("resolved")
+    return found.join(homes, "tok").groupBy("doc_id", F.col("tok").alias("identifier"), outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@book("""select doc_id, case when contains(text, 'http://www.tei-c.org/ns/1.0') then 'tei' when contains(left(text, 4096), '## Sources') then 'report' when starts_with(ltrim(text), '<') then 'markup' else 'text' end as route from documents where text is not null""")
+def sniff_router(spark, d):
+    x = F.col("text")
+    route = F.when(x.contains("http://www.tei-c.org/ns/1.0"), "tei").when(F.substring("text", 1, 4096).contains("## Sources"), "report").when(F.ltrim(x).startswith("<"), "markup").otherwise("text")
+    return documents(spark, d).where("text is not null").select("doc_id", route.alias("route"))
+
+
+@book("select doc_id, coalesce(try_cast(nullif(regexp_extract(text, '(?:^|[^0-9])([0-9]{4})(?:$|[^0-9])', 1), '') as integer), 0) as year from documents where text is not null")
+def read_year(spark, d):
+    from annalist.functions.numbers import read_year as year
+
+    return documents(spark, d).where("text is not null").select("doc_id", year(F.col("text")).alias("year"))
+
+
+@book("select doc_id, try_cast(nullif(regexp_extract(passage, '^\\s*([+-]?[0-9]+)', 1), '') as integer) as number from documents where passage is not null")
+def signed_int(spark, d):
+    from annalist.functions.numbers import signed_int as number
+
+    return documents(spark, d).where("passage is not null").select("doc_id", number(F.col("passage")).alias("number"))
+
+
+@book("select feed_seq, try_cast(nullif(regexp_extract(date_text, '(?:^|[^0-9])([0-9]{4})-[0-9]{2}-[0-9]{2}(?:$|[^0-9])', 1), '') as integer) as year from oai_records where date_text is not null")
+def extract_iso_year(spark, d):
+    return table(spark, d, "oai_records").where("date_text is not null").select("feed_seq", dates.iso_year(F.col("date_text")).alias("year"))
+
+
+
+
+def _part(i: int) -> str:
+    return f"nullif(regexp_extract(date_text, '^(-?[0-9]{{1,6}})(?:-([0-9]{{2}})(?:-([0-9]{{2}}))?)?', {i}), '')"
+
+
+
+@book(f"""with p as (select feed_seq, try_cast({_part(1)} as int) y, try_cast({_part(2)} as int) m0, try_cast({_part(3)} as int) dd from oai_records where date_text is not null),
+ q as (select feed_seq, y, case when m0 between 1 and 12 then m0 end m, dd from p where y is not null),
+ w as (select feed_seq, dd, m, date_diff('day', date '1970-01-01', make_date(y, coalesce(m, 1), 1)) s, date_diff('day', date '1970-01-01', case when m is null then make_date(y, 12, 31) else last_day(make_date(y, m, 1)) end) e from q)
+ select feed_seq, case when m is not null and dd >= 1 and s + dd - 1 <= e then s + dd - 1 else s end as from_day, case when m is not null and dd >= 1 and s + dd - 1 <= e then s + dd - 1 else e end as to_day from w""")
+def parse_tei_date(spark, d):
+    window = table(spark, d, "oai_records").where("date_text is not null").select("feed_seq", dates.tei_window(F.col("date_text")).alias("w"))
+    return window.where("w is not null").select("feed_seq", "w.from_day", "w.to_day")
+
+
+@book("select entry_id, (case when regexp_matches(h, '^S') then -1 else 1 end) * substr(h, 2, 2)::int as latitude, (case when substr(h, 4, 1) = 'W' then -1 else 1 end) * substr(h, 5, 3)::int as longitude from (select entry_id, (case when entry_id % 2 = 0 then 'N' else 'S' end) || lpad((entry_id % 90)::varchar, 2, '0') || (case when entry_id % 3 = 0 then 'E' else 'W' end) || lpad((entry_id % 180)::varchar, 3, '0') h from catalogue)")
+def tile_corner(spark, d):
+    e = F.col("entry_id")
+    name = F.concat(F.when(e % 2 == 0, "N").otherwise("S"), F.lpad((e % 90).cast("string"), 2, "0"), F.when(e % 3 == 0, "E").otherwise("W"), F.lpad((e % 180).cast("string"), 3, "0"))
+    return table(spark, d, "catalogue").select("entry_id", dates.tile_corner(name).alias("c")).select("entry_id", "c.latitude", "c.longitude")
+
+
+# Addresses.
+
+
+@book(f"""with x as (select entry_id, regexp_replace(regexp_replace(address, '^[ <]+', ''), '[ >/.]+$', '') a from catalogue where address is not null), y as (select entry_id, regexp_replace(regexp_replace(a, '#.*$', ''), '^.{{0,8}}?://', '') a from x)
+ select entry_id, regexp_replace({_LOWER.format('a')}, '^www[.]', '') as reference from y""")
+def normalise_reference(spark, d):
+    return table(spark, d, "catalogue").where("address is not null").select("entry_id", t.normalise_reference(F.col("address")).alias("reference"))
+
+
+@book("select entry_id, replace(url_encode(title), '+', '%20') as escaped from catalogue where title is not null")
+def url_encode(spark, d):
+    return table(spark, d, "catalogue").where("title is not null").select("entry_id", t.url_escape(F.col("title")).alias("escaped"))
+
+
+@book("select doc_id, nullif(regexp_extract(k, '^([^,]+),(.+)$', 1), '') as authority, nullif(regexp_extract(k, '^([^,]+),(.+)$', 2), '') as key from (select doc_id, source || ',' || passage k from documents where source is not null and passage is not null)")
+def authority_key(spark, d):
+    key = F.concat_ws(",", "source", "passage")
+    part = lambda i: F.nullif(F.regexp_extract(key, "^([^,]+),(.+)$", i), F.lit(""))
+    return documents(spark, d).where("source is not null and passage is not null").select("doc_id", part(1).alias("authority"), part(2).alias("key"))
+
+
+@book(f"select doc_id, trim(regexp_replace({_LOWER.format('text')}, '[ \\t\\r\\n]+', ' ', 'g'), ' ') as claim from documents where text is not null")
+def normalise_claim(spark, d):
+    return documents(spark, d).where("text is not null").select("doc_id", t.normalise_claim(F.col("text")).alias("claim"))
+
+
+@book("select distinct source, case source when 'openalex' then 52429 when 'arxiv' then 42598 when 'wikipedia' then 36045 when 'github' then 32768 when 'stackexchange' then 26214 else 22938 end as confidence from documents where source is not null")
+def provider_profile(spark, d):
+    return documents(spark, d).where("source is not null").select("source").distinct().select("source", t.provider_confidence(F.col("source")).alias("confidence"))
+
+
+# Marked-up text.
+
+
+@book("select doc_id, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'), ' ') as flat from documents where text is not null")
+def xml_flatten(spark, d):
+    return documents(spark, d).where("text is not null").select("doc_id", t.xml_flatten(F.col("text")).alias("flat"))
+
+
+@book("select doc_id, replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&amp;', '&') as decoded from documents where text is not null")
+def xml_entities(spark, d):
+    return documents(spark, d).where("text is not null").select("doc_id", t.xml_predefined(F.col("text")).alias("decoded"))
+
+
+@book("select entry_id, title as text, holder as attribute from catalogue where title is not null and not regexp_matches(title, '[<>&\"]') and trim(regexp_replace(title, '[ \\t\\r\\n]+', ' ', 'g'), ' ') = title")
+def xml_first_text(spark, d):
+    """A record written as marked-up text and read again."""
+    rows = table(spark, d, "catalogue").where("title is not null").where(~F.col("title").rlike('[<>&"]')).where(t.xml_flatten(F.col("title")) == F.col("title"))
+    body = F.concat(F.lit("<!-- <title>no</title> --><r:title lang='"), F.col("holder"), F.lit("'>"), F.col("title"), F.lit("</r:title>"))
+    return rows.select("entry_id", markup.xml_first_text(body, "title").alias("text"), markup.xml_attribute(F.regexp_extract(body, r"(<r:title[^>]*>)", 1), "lang").alias("attribute"))
+
+
+@book()
+def xml_elements(spark, d):
+    tags = documents(spark, d).where(F.col("text").contains("<")).select("doc_id", F.posexplode(markup.xml_elements(F.col("text"))).alias("n", "e"))
+    return tags.select("doc_id", "n", "e.name", "e.closing", "e.empty")
+
+
+@book()
+def xml_text(spark, d):
+    return documents(spark, d).where(F.col("text").contains("<")).select("doc_id", markup.xml_text(F.col("text")).alias("plain"))
+
+
+# Claims held against their text.
+
+_GROUND = f"""with p as (select doc_id, text, source subject, lang object, n_chars from documents where text is not null), n as (select doc_id, trim(regexp_replace({_LOWER.format('text')}, '[ \\t\\r\\n]+', ' ', 'g'), ' ') t, trim(regexp_replace({_LOWER.format('left(text, 80)')}, '[ \\t\\r\\n]+', ' ', 'g'), ' ') q, {_LOWER.format('subject')} s, {_LOWER.format('object')} o, subject, object, n_chars from p)"""
+
+
+@book(f"{_GROUND} select doc_id, case when subject is null or subject = '' or object is null or object = '' then 'incomplete' when n_chars > 65536 then 'over confident' when q = '' then 'no quotation' when not contains(t, q) then 'quotation absent' when not contains(q, s) then 'subject absent' when not contains(q, o) then 'object absent' else 'admitted' end as outcome from n")
+def ground_claim(spark, d):
+    """Each document's first words quoted for a claim about its source and language."""
+    claims = documents(spark, d).where("text is not null").select("doc_id", F.col("text").alias("passage"), F.col("source").alias("subject"), F.col("lang").alias("object"), F.lit("stated in").alias("predicate"), F.lit(0).alias("from_day"), F.lit(0).alias("to_day"), F.col("n_chars").alias("confidence_raw"), F.substring("text", 1, 80).alias("quotation"))
+    return ground(claims).select("doc_id", "outcome")
+
+
+@book(f"{_GROUND}, g as (select case when subject is null or subject = '' or object is null or object = '' then 'incomplete' when n_chars > 65536 then 'over confident' when q = '' then 'no quotation' when not contains(t, q) then 'quotation absent' when not contains(q, s) then 'subject absent' when not contains(q, o) then 'object absent' else 'admitted' end as outcome from n) select outcome, count(*) as n from g group by outcome")
+def synthesise(spark, d):
+    return ground_claim(spark, d).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@book(f"""with c as (select distinct {_LOWER.format('source')} || chr(31) || 'in' || chr(31) || {_LOWER.format('lang')} k from documents where source is not null and lang is not null) select k as claim, {_FNV.format('k')} as identifier from c""")
+def testimonies_for(spark, d):
+    key = F.concat_ws("\x1f", t.normalise_claim(F.col("source")), F.lit("in"), t.normalise_claim(F.col("lang")))
+    return documents(spark, d).where("source is not null and lang is not null").select(key.alias("claim")).distinct().select("claim", t.name_identifier(F.col("claim")).alias("identifier"))
+
+
+# Rasters, from the line items: a square of cells with gaps.
+
+SIDE = 61
+_CELLS = f"""with c as (select l_orderkey % {SIDE} r, l_partkey % {SIDE} c, max(case when l_discount = 0 then -32768 else floor(l_quantity)::int - 25 end) m from lineitem group by all)"""
+
+
+def _cells(spark, d):
+    m = F.when(F.col("l_discount") == 0, raster.VOID).otherwise(F.floor("l_quantity").cast("int") - 25)
+    return table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % SIDE).cast("int").alias("row"), (F.col("l_partkey") % SIDE).cast("int").alias("col")).agg(F.max(m).alias("m"))
+
+
+@book(f"{_CELLS} select count(*) filter (m = -32768) as voids, min(m) filter (m <> -32768) as lowest, max(m) filter (m <> -32768) as highest from c")
+def raster_stats(spark, d):
+    return raster.stats(_cells(spark, d))
+
+
+@book(f"{_CELLS} select (r // 5)::int as row, (c // 5)::int as col, coalesce(sum(m) filter (m <> -32768) // count(*) filter (m <> -32768), -32768)::int as m from c where r < 60 and c < 60 group by 1, 2")
+def raster_reduce(spark, d):
+    return raster.reduce(_cells(spark, d).where("row < 60 and col < 60"), 5)
+
+
+@book(f"{_CELLS} select x.i::int as row, y.j::int as col, c.m from range(0, 90) x(i), range(0, 90) y(j), c where c.r = x.i * 2 // 3 and c.c = y.j * 2 // 3 and c.m <> -32768")
+def resample_cells(spark, d):
+    return raster.resample(_cells(spark, d), 90, 90, 2, 3)
+
+
+@book(f"{_CELLS} select (r // 16)::int as tile_z, (c // 16)::int as tile_x, count(*) filter (m <> -32768) as cells, (case when c // 16 = 0 then 1 else 0 end) + (case when c // 16 = {SIDE // 16} then 2 else 0 end) + (case when r // 16 = 0 then 4 else 0 end) + (case when r // 16 = {SIDE // 16} then 8 else 0 end) as edges from c group by r // 16, c // 16 having count(*) filter (m <> -32768) > 0")
+def bake_tiles(spark, d):
+    return raster.tiles(_cells(spark, d), 16, SIDE // 16, SIDE // 16)
+
+
+@book(f"{_CELLS} select min(m) filter (m <> -32768) as lowest, max(m) filter (m <> -32768) as highest, count(*) filter (m = -32768) as gaps from c where r < 16 and c < 16")
+def relief_window(spark, d):
+    return raster.window(_cells(spark, d), 16)
+
+
+@book(f"{_CELLS}, s as (select c.*, h.i from c, range(0, 2) h(i)), g as (select r, c + i * 60 as c, max_by(m, i) m from s group by r, c + i * 60) select r::int as row, c::int as col, m from g")
+def assemble_region(spark, d):
+    """Two tiles side by side; the column they share is the later tile's."""
+    cells = _cells(spark, d)
+    first = cells.withColumn("n", F.lit(1))
+    second = cells.withColumn("n", F.lit(0)).withColumn("col", F.col("col") + 60)
+    return raster.assemble(first, second)
+
+
+# Signatures.
+
+
+@book("""with a as (select count(*) n, count(*) filter (subject is null) s, count(*) filter (locus = 0) l from facts), w as (select [2166136261, n, s, l] ws from a) select list_reduce(ws, lambda h, x: (xor(h, x) * 16777619) & 4294967295) as fold from w""")
+def fold_audit(spark, d):
+    a = table(spark, d, "facts").agg(F.count("*").alias("n"), F.count_if(F.col("subject").isNull()).alias("s"), F.count_if(F.col("locus") == 0).alias("l"))
+    return a.select(t.fold_words(F.array("n", "s", "l")).alias("fold"))
+
+
+@book("""with p as (select fact_id, subject from facts where predicate = 1202 and subject is not null order by subject, fact_id, recorded_at limit 64), l as (select list(fact_id order by subject, fact_id) ids from p) select list_reduce(list_prepend(2166136261::bigint, ids), lambda h, x: (xor(h, x) * 16777619) & 4294967295) as fold from l""")
+def fold_page(spark, d):
+    """The signature of a page of at most 64 rows, in their order."""
+    head = table(spark, d, "facts").where("predicate = 1202 and subject is not null").orderBy("subject", "fact_id", "recorded_at").limit(64)
+    ids = head.agg(F.array_sort(F.collect_list(F.struct("subject", "fact_id"))).alias("r"))
+    return ids.select(t.fold_words(F.col("r.fact_id")).alias("fold"))
+
+
+@book("select section, case section when 1 then 'vocabulary' when 2 then 'sources' when 3 then 'facts' when 4 then 'documents' when 5 then 'loci' when 6 then 'texts' when 7 then 'ecc' when 8 then 'catalogue' when 9 then 'gazetteer' when 10 then 'place-link' when 11 then 'candidate' when 12 then 'attribution' when 13 then 'relief' else 'unknown' end as name from range(0, 15) r(section)")
+def section_name(spark, d):
+    from annalist.sources.image import section_name as name
+
+    return spark.range(15).select(F.col("id").alias("section"), name(F.col("id")).alias("name"))
+
+
