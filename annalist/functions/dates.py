@@ -10,12 +10,9 @@ EPOCH = 719468  # days from 0000-03-01 to 1970-01-01
 
 
 def day_of_date(year: Column, month: Column, day: Column) -> Column:
-    """The day number of a civil date, for any year."""
-    y = F.when(month <= 2, year - 1).otherwise(year).cast("long")
-    era = F.floor(y / CYCLE_YEARS)
-    of_era = y - era * CYCLE_YEARS
-    of_year = F.floor((F.lit(153) * (month + F.when(month > 2, -3).otherwise(9)) + 2) / 5) + day - 1
-    return (era * CYCLE_DAYS + of_era * 365 + F.floor(of_era / 4) - F.floor(of_era / 100) + of_year - EPOCH).cast("long")
+    """The day number of a civil date, for any year: the calendar repeats every 400 years."""
+    near = F.pmod(year, F.lit(CYCLE_YEARS)) + 2000
+    return F.unix_date(F.make_date(near, month, day)).cast("long") + ((year - near) / CYCLE_YEARS).cast("long") * CYCLE_DAYS
 
 
 def year_of_day(day: Column) -> Column:
