@@ -133,7 +133,7 @@ def footnote_name(canonical: Column, chapter: Column, number: Column) -> Column:
 
 
 #: Providers with the kind of their sources and the confidence they get (Q16.16).
-PROVIDERS = {"openalex": (1, 52429), "arxiv": (1, 42598), "wikipedia": (3, 36045), "github": (3, 32768), "stackexchange": (3, 26214)}
+PROVIDERS = {"openalex": (0, 52429), "arxiv": (3, 42598), "wikipedia": (3, 36045), "github": (2, 32768), "stackexchange": (3, 26214)}
 OTHER_PROVIDER = 22938
 
 
