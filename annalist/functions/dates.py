@@ -37,15 +37,19 @@ TEI_DATE = r"^(-?[0-9]{1,6})(?:-([0-9]{2})(?:-([0-9]{2}))?)?"
 
 def tei_window(text: Column) -> Column:
     """struct(from_day, to_day) of a year, a month or a day; a month that is none leaves the year, a day the month."""
-    part = lambda i: F.nullif(F.regexp_extract(text, TEI_DATE, i), F.lit("")).try_cast("int")
-    year, month, day = part(1), part(2), part(3)
-    month = F.when(month.between(1, 12), month)
-    start = day_of_date(year, F.coalesce(month, F.lit(1)), F.lit(1))
-    leap = F.when((F.pmod(year, F.lit(4)) == 0) & ((F.pmod(year, F.lit(100)) != 0) | (F.pmod(year, F.lit(400)) == 0)), 1).otherwise(0)
-    length = F.when(month.isNull(), leap + 365).when(month == 2, leap + 28).otherwise(F.lit(31) - ((month - 1) % 7) % 2)
-    last = start + length - 1
-    exact = F.when(month.isNotNull() & (day >= 1) & (start + day - 1 <= last), start + day - 1)
-    return F.when(year.isNotNull(), F.struct(F.coalesce(exact, start).alias("from_day"), F.coalesce(exact, last).alias("to_day")))
+    def read(g: Column) -> Column:
+        year, month, day = (g[c] for c in ("y", "m", "d"))
+        start = day_of_date(year, F.coalesce(month, F.lit(1)), F.lit(1))
+        leap = F.when((F.pmod(year, F.lit(4)) == 0) & ((F.pmod(year, F.lit(100)) != 0) | (F.pmod(year, F.lit(400)) == 0)), 1).otherwise(0)
+        length = F.when(month.isNull(), leap + 365).when(month == 2, leap + 28).otherwise(F.lit(31) - ((month - 1) % 7) % 2)
+        exact = F.when(month.isNotNull() & day.between(1, length), start + day - 1)
+        return F.when(year.isNotNull(), F.struct(F.coalesce(exact, start).alias("from_day"), F.coalesce(exact, start + length - 1).alias("to_day")))
+
+    number = lambda i: F.nullif(F.regexp_extract(text, TEI_DATE, i), F.lit("")).try_cast("int")
+    month = F.filter(F.array(number(2)), lambda m: m.between(1, 12))
+    # Bound as the variable of a lambda, the parts are taken once.
+    parts = F.struct(number(1).alias("y"), F.get(month, F.lit(0)).alias("m"), number(3).alias("d"))
+    return F.get(F.transform(F.array(parts), read), F.lit(0))
 
 
 def iso_year(text: Column) -> Column:
