@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from annalist.operators.intervals import MergedIntervals
 from annalist.operators.patches import current_state, iso_instant
 from annalist.sources import delimited
-from annalist.storage import table
+from annalist.storage import Workspace, table
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> MergedIntervals:
@@ -24,10 +24,12 @@ def p1_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(spark, sf_dir).periods().withColumnRenamed("key", "subject")
 
 
-def _records(spark: SparkSession, sf_dir: str) -> dict[delimited.Feed, DataFrame]:
+def _records(spark: SparkSession, sf_dir: str) -> list[tuple[delimited.Feed, DataFrame]]:
+    """The records taken apart once, for the checks and the join back read them several times."""
+    space = Workspace(spark, "delimited")
     return [
-        (delimited.HOLDINGS, delimited.holdings_records(table(spark, sf_dir, "holdings_raw"))),
-        (delimited.GAZETTEER, delimited.gazetteer_records(table(spark, sf_dir, "gazetteer_raw"))),
+        (delimited.HOLDINGS, space.write(delimited.holdings_records(table(spark, sf_dir, "holdings_raw")), "holdings")),
+        (delimited.GAZETTEER, space.write(delimited.gazetteer_records(table(spark, sf_dir, "gazetteer_raw")), "gazetteer")),
     ]
 
 
