@@ -24,23 +24,26 @@ def iso_instant(text: Column) -> Column:
     real time. Digits of the fraction after the ninth are cut.
     """
     trimmed = F.trim(text)
-
-    def group(i: int) -> Column:
-        return F.nullif(F.regexp_extract(trimmed, ISO_INSTANT, i), F.lit(""))
-
-    def number(i: int) -> Column:
-        return F.coalesce(group(i).cast("int"), F.lit(0))
-
-    day = F.concat_ws("-", group(1), F.coalesce(group(2), F.lit("01")), F.coalesce(group(3), F.lit("01")))
-    date = F.unix_date(F.when(group(1).isNotNull(), day).try_cast("date"))
-    zone = group(8)
-    ahead = F.when(zone.isNull() | (zone == "Z"), F.lit(0)).otherwise(
-        F.when(zone.startswith("-"), -1).otherwise(1)
-        * (F.substring(zone, 2, 2).cast("int") * 60 + F.coalesce(F.nullif(F.substring(zone, -2, 2), F.lit("")).cast("int"), F.lit(0)) * F.when(F.length(zone) > 3, 1).otherwise(0))
-    )
-    real = date.isNotNull() & (number(4) < 24) & (number(5) < 60) & (number(6) < 60) & (F.abs(ahead) < 24 * 60)
-    seconds = date.cast("long") * 86400 + number(4) * 3600 + number(5) * 60 + number(6) - ahead * 60
-    return F.when(real, F.struct(seconds.alias("seconds"), F.rpad(F.coalesce(group(7), F.lit("0")), 9, "0").cast("int").alias("nanos")))
+    groups = F.struct(*[F.regexp_extract(trimmed, ISO_INSTANT, i).alias(f"g{i}") for i in range(1, 9)])
+
+    def read(g: Column) -> Column:
+        def number(i: int) -> Column:
+            return F.coalesce(F.nullif(g[f"g{i}"], F.lit("")).cast("int"), F.lit(0))
+
+        def part(i: int) -> Column:
+            return F.when(g[f"g{i}"] == "", "01").otherwise(g[f"g{i}"])
+
+        date = F.unix_date(F.concat_ws("-", g["g1"], part(2), part(3)).try_cast("date"))
+        zone = g["g8"]
+        minutes = F.when(F.length(zone) > 3, F.substring(zone, -2, 2).try_cast("int")).otherwise(0)
+        ahead = F.when((zone == "") | (zone == "Z"), 0).otherwise(F.when(zone.startswith("-"), -1).otherwise(1) * (F.substring(zone, 2, 2).try_cast("int") * 60 + minutes))
+        real = date.isNotNull() & (number(4) < 24) & (number(5) < 60) & (number(6) < 60) & (F.abs(ahead) < 24 * 60)
+        seconds = date.cast("long") * 86400 + number(4) * 3600 + number(5) * 60 + number(6) - ahead * 60
+        nanos = F.rpad(F.when(g["g7"] == "", "0").otherwise(g["g7"]), 9, "0").cast("int")
+        return F.when((g["g1"] != "") & real, F.struct(seconds.alias("seconds"), nanos.alias("nanos")))
+
+    # Bound as the variable of a lambda, the groups are taken once and the expression stays small.
+    return F.get(F.transform(F.array(groups), read), F.lit(0))
 
 
 def compose(changes: DataFrame, key: str, instant: str, number: str, deleted: str, payload: list[str], partial: bool = False) -> DataFrame:
