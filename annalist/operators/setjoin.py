@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.functions.texts import FULL, jaccard_raw, token_set
+from annalist.functions.texts import FULL, ascii_lower, is_abbreviation, jaccard_raw, token_set
 from annalist.storage import pick
 
 PROPOSE = 36045
@@ -38,3 +38,18 @@ def similar_pairs(names: DataFrame, id: str, name: str, threshold: int = PROPOSE
     scored = pairs.join(by_left, "left").join(by_right, "right").select("left", "right", jaccard_raw(F.col("tl"), F.col("tr")).alias("score")).where(F.col("score") >= threshold)
     copies = sets.join(reps.withColumnRenamed("id", "rep"), "tokens").where("id <> rep").select(F.col("rep").alias("left"), F.col("id").alias("right"), F.lit(FULL).cast("long").alias("score"))
     return scored.unionAll(copies)
+
+
+def abbreviations(names: DataFrame, id: str, name: str, most_bytes: int = 8) -> DataFrame:
+    """short, long: one-word names of few bytes whose letters are initials of another name's words, in order.
+
+    Joined by the first two letters against the ordered pairs of initials, then checked in full.
+    """
+    every = pick(names, id=id, name=name).where("name is not null")
+    words = F.filter(F.split(F.regexp_replace(ascii_lower(F.col("name")), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+    every = every.withColumn("initials", F.transform(words, lambda w: F.substring(w, 1, 1)))
+    letters = F.regexp_replace(ascii_lower(F.col("name")), "[^a-z0-9]", "")
+    short = every.where((F.size("initials") == 1) & (F.octet_length("name") <= most_bytes) & (F.length(letters) >= 2)).select(F.col("id").alias("short"), F.col("name").alias("s"), F.substring(letters, 1, 2).alias("k"))
+    ahead = F.flatten(F.transform("initials", lambda c, i: F.transform(F.slice("initials", i + 2, F.size("initials")), lambda d: F.concat(c, d))))
+    long = every.where(F.size("initials") > 1).select(F.col("id").alias("long"), F.col("name").alias("l"), F.explode(F.array_distinct(ahead)).alias("k"))
+    return short.join(long, "k").where(is_abbreviation(F.col("s"), F.col("l"))).select("short", "long")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annalist.plans import facts, problems, texts, works
+from annalist.plans import corpora, facts, problems, texts, works
 
-BOOKS = (facts.book, works.book, texts.book)
+BOOKS = (facts.book, works.book, texts.book, corpora.book)
 QUERIES = problems.QUERIES | {k: q for b in BOOKS for k, q in b.queries.items()}
 ORACLE = problems.ORACLE | {k: s for b in BOOKS for k, s in b.oracle.items()}
 
