@@ -177,7 +177,7 @@ def provenance_audit(spark, d):
     return ask.defects(facts(spark, d), sources(spark, d), loci(spark, d), works).groupBy("defect").agg(F.count("*").alias("n"))
 
 
-@book("select source_kind, count(*) as facts, count(distinct subject) as subjects, sum(confidence_raw) as confidence from facts join fact_sources on source_id = source_ref group by source_kind")
+@book("select source_kind, count(*) as facts, count(distinct subject) as subjects, sum(confidence_raw)::bigint as confidence from facts join fact_sources on source_id = source_ref group by source_kind")
 def facts_by_kind(spark, d):
     kinds = F.broadcast(sources(spark, d).select(F.col("source_id").alias("source_ref"), "source_kind"))
     # Two levels, so that no kind gathers its subjects in one task.
