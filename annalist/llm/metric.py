@@ -90,7 +90,7 @@ def near(strings: list[str], pivots: Spelled, reach: int = REACH) -> pd.DataFram
     return pd.DataFrame({"ix": i[keep], "pivot": p[keep], "distance": d[keep]})
 
 
-def _swapped(a: str, b: str):
+def swapped(a: str, b: str):
     """Do two strings of equal length differ by one swap of neighbours?"""
     return F.expr(f"length({a}) = length({b}) and exists(sequence(1, greatest(length({a}) - 1, 1)), i -> concat(substring({a}, 1, i - 1), substring({a}, i + 1, 1), substring({a}, i, 1), substring({a}, i + 2)) = {b})")
 
@@ -134,7 +134,7 @@ def pairs_within_one(keys: DataFrame, max_pivots: int = MAX_PIVOTS) -> DataFrame
         live = cells.where("home").select("pivot", F.col("key").alias("a"))
         visit = cells.where("not far").select("pivot", F.col("key").alias("b"))
         close = F.expr("abs(length(a) - length(b)) <= 1 and levenshtein(a, b, 2) between 1 and 2")
-        pairs = live.join(visit, "pivot").where("a <> b").where(close).where((F.levenshtein("a", "b", 2) == 1) | _swapped("a", "b"))
+        pairs = live.join(visit, "pivot").where("a <> b").where(close).where((F.levenshtein("a", "b", 2) == 1) | swapped("a", "b"))
         found.append(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         left = space.write(cells.where("far").select("key", "freq"), f"level-{level + 1}")
         level += 1

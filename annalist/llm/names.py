@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annalist.llm.metric import pairs_within_one
+from annalist.llm.metric import pairs_within_one, swapped
 from annalist.storage import Workspace, pick
 
 #: Given names with their usual short and foreign forms.
@@ -40,7 +40,7 @@ CONTRACTED = {"bd": "board", "co": "company", "dept": "department"}
 FILLERS = set("of for the and de".split())
 YEARS = re.compile(r"\(?\b(?:b|born)\.?\s*(\d{4})\b\)?|(\d{4})\s*[-–—]\s*(\d{4})?")
 
-PARSED = "name string, body boolean, key string, first string, second string, born int, died int"
+PARSED = "name string, body boolean, key string, first string, second string, born int, died int, typed string"
 
 
 def plain(text: str) -> str:
@@ -166,19 +166,42 @@ def _parse_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = [(n, *parse(n)) for n in batch["name"]]
         out = pd.DataFrame(rows, columns=["name", "body", "key", "first", "second", "born", "died"])
+        out["typed"] = out["key"]
         # Two strokes for one letter: a common slip of readers and machines.
         out["key"] = out["key"].str.replace("rn", "m").str.replace("vv", "w")
         yield out.astype({"born": "Int32", "died": "Int32"})
 
 
-def parsed_names(names: DataFrame, space: Workspace) -> DataFrame:
-    """name, body, key, head, first, second, born, died for each distinct name; names: name, n (how often)."""
+def _typed_pairs(taken: DataFrame) -> DataFrame:
+    """a, b with a < b: keys that are one edit apart as they were typed, where rewriting changed one of them.
+
+    Keys one edit apart have in common what is left of each without one letter at most. Long ones are cut in three
+    parts, of which one edit, or one swap, leaves one whole, moved by one place at most.
+    """
+    forms = taken.select("typed", "key").distinct().withColumn("n", F.length("typed"))
+    rest = "array_distinct(concat(array(typed), transform(sequence(1, greatest(n, 1)), i -> concat(substring(typed, 1, i - 1), substring(typed, i + 1)))))"
+    short = forms.where("n <= 32").select("typed", "key", F.explode(F.expr(rest)).alias("k"))
+    long = forms.where("n > 30").withColumn("m", F.explode(F.expr("sequence(n - 1, n + 1)")))
+    part = "concat_ws(' ', m, i, substring(typed, i * (m div 3) + 1 + s, if(i = 2, m - 2 * (m div 3), m div 3)))"
+    parts = f"flatten(transform(sequence(-1, 1), s -> transform(filter(sequence(0, 2), i -> i + s >= 0), i -> {part})))"
+    every = short.unionByName(long.select("typed", "key", F.explode(F.expr(parts)).alias("k")))
+    met = every.where("typed <> key").select(F.col("typed").alias("a"), F.col("key").alias("ka"), "k").join(every.select(F.col("typed").alias("b"), F.col("key").alias("kb"), "k"), "k")
+    one = met.where("ka <> kb").where((F.levenshtein("a", "b", 2) == 1) | swapped("a", "b"))
+    return one.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
+
+
+def parsed_names(names: DataFrame, space: Workspace, typed: bool = False) -> DataFrame:
+    """name, body, key, head, first, second, born, died for each distinct name; names: name, n (how often).
+
+    typed: keys are also held against each other as they were typed, before strokes are put together.
+    """
     parallel = names.sparkSession.sparkContext.defaultParallelism
     parts = names.repartition(parallel * 2, "name").select("name", "n")
     taken = space.write(parts.select("name").mapInPandas(_parse_all, PARSED).where("key is not null"), "parsed")
     freq = taken.join(names, "name").groupBy("key").agg(F.sum("n").alias("freq"))
     freq = space.write(freq, "keys")
-    pairs = space.write(pairs_within_one(freq), "pairs")
+    pairs = pairs_within_one(freq)
+    pairs = space.write(pairs.unionByName(_typed_pairs(taken)).distinct() if typed else pairs, "pairs")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     # A key beside one twice as frequent, or a rare one beside any as frequent, is its misspelling; the most
     # frequent neighbour wins.
@@ -251,7 +274,7 @@ def variant_pairs(authors: DataFrame, works: DataFrame) -> DataFrame:
     authors = pick(authors, id="id", name="name", from_year="from_year", to_year="to_year").where("name is not null")
     works = pick(works, id="id", name="name", year="year").where("name is not null")
     counted = authors.select("name").unionAll(works.select("name")).groupBy("name").agg(F.count("*").alias("n"))
-    names = space.write(parsed_names(space.write(counted, "names"), space), "heads")
+    names = space.write(parsed_names(space.write(counted, "names"), space, typed=True), "heads")
     persons = space.write(_lives(authors, names), "persons")
 
     # 1. Authors with authors; who is dated lends the dates to who is not.
