@@ -1,9 +1,10 @@
 """Mixing sources to target weights.
 
 The documents of a source lie end to end and are cut into blocks of a fixed number of tokens. The mixture is made
-in shards; for each the number of blocks from each source is drawn from a multinomial. The k-th block drawn from a
-source is found by a pseudorandom permutation of its block numbers, another one for each pass through the source,
-and the blocks are joined by number. No pass beyond the cap is begun, so no token is repeated more often.
+in shards; for each the number of blocks from each source is drawn from a multinomial, but for sources that cannot
+give their share: these give all they have, spread over the shards. The k-th block drawn from a source is found by
+a pseudorandom permutation of its block numbers, another one for each pass through the source, and the blocks are
+joined by number. No pass beyond the cap is begun, so no token is repeated more often.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from pyspark.sql import functions as F
 from annalist.storage import Workspace, pick
 
 BLOCK_TOKENS = 512
-#: The mixture has at most so many shards; the driver holds a count for each shard and source.
-SHARDS = 1024
+#: Blocks of a shard: no row and no array is larger.
 SHARD_BLOCKS = 1024
-CHUNKS = 64
+#: Shards whose counts are summed at once to number the slots.
+SHARD_GROUP = 1024
 ROUNDS = 4
 
 
@@ -48,7 +49,7 @@ def permuted(index: np.ndarray, n: np.ndarray, seed: np.ndarray) -> np.ndarray:
 
 
 def quotas(share: np.ndarray, cap: np.ndarray, total: float) -> np.ndarray:
-    """Blocks of each source: its share, or its cap; what capped sources leave free goes to the others by share."""
+    """What each source gives: its share, or its cap; what capped sources leave free goes to the others by share."""
     quota, open_ = np.zeros(len(share)), np.ones(len(share), dtype=bool)
     left = total
     while open_.any() and left > 0 and share[open_].sum() > 0:
@@ -63,27 +64,37 @@ def quotas(share: np.ndarray, cap: np.ndarray, total: float) -> np.ndarray:
     return quota
 
 
-def draw(quota: np.ndarray, cap: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Blocks of each source in each shard, drawn from a multinomial; none beyond the cap of its source."""
-    total = int(round(quota.sum()))
-    rng, room = np.random.default_rng(seed), cap.astype(np.int64).copy()
-    counts = np.zeros((shards, len(quota)), dtype=np.int64)
-    for s in range(shards):
-        missing = total // shards + (s < total % shards)
-        weight = quota.copy()
-        while missing > 0:
-            weight = np.where(room > 0, np.maximum(weight, 0), 0)
-            if weight.sum() <= 0:
-                weight = np.where(room > 0, room, 0).astype(float)
-                if weight.sum() <= 0:
-                    break
-            got = np.minimum(rng.multinomial(missing, weight / weight.sum()), room)
-            counts[s] += got
-            room -= got
-            missing -= int(got.sum())
+def draw(shard: np.ndarray, shards: int, blocks: int, fixed: np.ndarray, weight: np.ndarray, seed: int) -> np.ndarray:
+    """Blocks of each source in each of the given shards; `blocks` is the size of all shards together.
+
+    fixed: blocks that a source gives in all, spread evenly; weight: by what the other blocks are drawn.
+    """
+    upto = lambda s, n: (s * n) // shards
+    counts = np.zeros((len(shard), len(fixed)), dtype=np.int64)
+    for row, s in enumerate(int(x) for x in shard):
+        counts[row] = [upto(s + 1, int(n)) - upto(s, int(n)) for n in fixed]
+        free = upto(s + 1, blocks) - upto(s, blocks)
+        if free and weight.sum() > 0:
+            counts[row] += np.random.default_rng([seed, s]).multinomial(free, weight / weight.sum())
     return counts
 
 
+def laid_out(sized: DataFrame, space: Workspace) -> DataFrame:
+    """source, id, tokens and at: where each document begins when those of its source lie end to end.
+
+    Ranges of documents are summed where they lie, the sums (one for each range and source) are prefix-combined,
+    and the ranges are summed again from there, so that the largest source is spread like all others.
+    """
+    ranged = sized.repartitionByRange("source", "id", "tokens").withColumn("part", F.spark_partition_id())
+    ranged = space.write(ranged, "ranged")
+    sums = ranged.groupBy("source", "part").agg(F.sum("tokens").alias("sum"))
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("source", "part", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("start"))
+    within = Window.partitionBy("source", "part").orderBy("id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("within", F.coalesce(F.sum("tokens").over(within), F.lit(0))).join(starts, ["source", "part"])
+    return placed.select("source", "id", "tokens", (F.col("start") + F.col("within")).alias("at"))
+
+
 class Mixture:
     """A mixture as large as all documents together.
 
@@ -95,55 +106,49 @@ class Mixture:
     the targets is refused. Empty documents or targets give an empty mixture, and a report of the targets.
     """
 
-    def __init__(self, documents: DataFrame, id: str, source: str, tokens: str, targets: DataFrame, target_source: str, share: str, max_repeats: str, block: int = BLOCK_TOKENS, seed: int = 1) -> None:
-        spark = documents.sparkSession
+    def __init__(self, documents: DataFrame, id: str, source: str, tokens: str, targets: DataFrame, target_source: str, share: str, max_repeats: str, block: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS, seed: int = 1) -> None:
+        spark = self.spark = documents.sparkSession
         self.space = Workspace(spark, "mixture")
         wanted = pick(targets, source=target_source, share=share, repeats=max_repeats).where("source is not null").toPandas()
         if wanted["source"].duplicated().any():
             raise ValueError("a source has two targets")
-        self.wanted = wanted = wanted.fillna({"share": 0.0, "repeats": 0}).sort_values("source", ignore_index=True)
+        wanted = wanted.fillna({"share": 0.0, "repeats": 0}).sort_values("source", ignore_index=True)
         docs = pick(documents, id=id, source=source, tokens=tokens).withColumn("tokens", F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(0)).cast("long"))
-        # Sums of each source and chunk: sources x CHUNKS rows, whatever the number of documents.
-        chunked = docs.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(CHUNKS)))
-        sums = self.space.write(chunked.groupBy("source", "chunk").agg(F.sum("tokens").alias("sum")), "sums")
-        size = sums.groupBy("source").agg(F.sum("sum").alias("tokens"))
-        known = size.join(F.broadcast(spark.createDataFrame(wanted[["source"]], "source string")), "source").toPandas().set_index("source")["tokens"]
-        self.total = int(sums.agg(F.sum("sum")).first()[0] or 0)
+        # One row for each source of the documents, of which those with a target come to the driver.
+        names = spark.createDataFrame(wanted[["source"]], "source string")
+        sums = self.space.write(docs.groupBy("source").agg(F.sum("tokens").alias("tokens")), "sums")
+        known = sums.join(F.broadcast(names), "source").toPandas().set_index("source")["tokens"]
+        total = int(sums.agg(F.sum("tokens")).first()[0] or 0)
         have = wanted["source"].map(known).fillna(0).to_numpy(np.int64)
-        repeats, weight = wanted["repeats"].to_numpy(np.int64), wanted["share"].to_numpy(float)
-        self.report_base = wanted.assign(source_tokens=have, capacity_tokens=have * repeats, target_tokens=weight * self.total)
+        repeats, weight = np.maximum(wanted["repeats"].to_numpy(np.int64), 0), np.maximum(wanted["share"].to_numpy(float), 0.0)
         blocks = -(-have // block)
         cap = blocks * repeats
-        quota = quotas(weight, cap.astype(float), self.total / block)
-        shards = int(min(SHARDS, max(1, -(-int(quota.sum()) // SHARD_BLOCKS))))
-        counts = draw(quota, cap, shards, seed)
-        before = np.cumsum(counts, axis=0) - counts
-        s, k = np.nonzero(counts)
-        runs = pd.DataFrame({"shard": s, "source": wanted["source"].to_numpy()[k], "first": before[s, k], "n": counts[s, k], "blocks": blocks[k], "seed": seed + 1_000_003 * k})
-        self.blocks_drawn = int(counts.sum())
-
-        @F.pandas_udf("long")
-        def place(slot: pd.Series, n: pd.Series, seed: pd.Series) -> pd.Series:
-            slot, n = slot.to_numpy(np.int64), n.to_numpy(np.int64)
-            return pd.Series(permuted(slot % n, n, seed.to_numpy(np.int64) + 7919 * (slot // n)))
-
-        slots = (
-            spark.createDataFrame(runs, "shard long, source string, first long, n long, blocks long, seed long")
-            .repartition(max(1, min(shards, spark.sparkContext.defaultParallelism * 4)), "shard", "source")
-            .select("shard", "source", "blocks", "seed", F.posexplode(F.expr("sequence(first, first + n - 1)")).alias("pos", "slot"))
-        )
-        #: shard, pos, source, slot, block: which block stands at each place of the mixture.
-        self.slots = slots.select("shard", "pos", "source", "slot", place("slot", "blocks", "seed").alias("block"))
-
-        starts = sums.withColumn("start", F.sum("sum").over(Window.partitionBy("source").orderBy("chunk")) - F.col("sum")).select("source", "chunk", "start")
-        lie = Window.partitionBy("source", "chunk").orderBy("id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
-        placed = (
-            chunked.where("tokens > 0")
-            .join(F.broadcast(spark.createDataFrame(wanted[["source"]], "source string")), "source")
-            .withColumn("within", F.coalesce(F.sum("tokens").over(lie), F.lit(0)))
-            .join(F.broadcast(starts), ["source", "chunk"])
-            .withColumn("at", F.col("start") + F.col("within"))
-        )
+        quota = quotas(weight, (have * repeats).astype(float), total)
+        full = quota >= have * repeats
+        fixed = np.where(full, cap, 0)
+        open_weight = np.where(full, 0.0, quota)
+        drawn = int(round(open_weight.sum() / block))
+        shards = max(1, -(-int(fixed.sum() + drawn) // shard_blocks))
+        #: What the driver holds of each source; a few rows.
+        self.sources = wanted.assign(target_tokens=weight * total, source_tokens=have, blocks=blocks, slots_most=cap, seed=seed + 1_000_003 * np.arange(len(wanted)))
+
+        def counted(batches):
+            for batch in batches:
+                counts = draw(batch["id"].to_numpy(), shards, drawn, fixed, open_weight, seed)
+                s, k = np.nonzero(counts)
+                yield pd.DataFrame({"shard": batch["id"].to_numpy()[s], "k": k, "n": counts[s, k]})
+
+        counts = self.space.write(spark.range(shards).mapInPandas(counted, "shard long, k int, n long"), "counts")
+        # Slots of a source are numbered over all shards, by sums of groups of shards and within each group.
+        group = counts.withColumn("group", F.floor(F.col("shard") / SHARD_GROUP))
+        by_group = group.groupBy("k", "group").agg(F.sum("n").alias("n"))
+        earlier = Window.partitionBy("k").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+        starts = by_group.select("k", "group", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+        inside = Window.partitionBy("k", "group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+        runs = group.withColumn("first", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(starts, ["k", "group"]).select("shard", "k", "n", (F.col("start") + F.col("first")).alias("first"))
+        slots = runs.repartition("shard", "k").select("shard", F.col("k").alias("drawn"), F.posexplode(F.expr("sequence(first, first + n - 1)")).alias("pos", "slot"))
+        self.slots = self._placed(slots, counts)
+        placed = laid_out(docs.where("tokens > 0").join(F.broadcast(names), "source"), self.space)
         #: source, block, id, begin, tokens: the stretch of a document that lies in a block.
         self.blocks = placed.withColumn("block", F.explode(F.expr(f"sequence(at div {block}, (at + tokens - 1) div {block})"))).select(
             "source",
@@ -153,29 +158,72 @@ class Mixture:
             (F.least((F.col("block") + 1) * block, F.col("at") + F.col("tokens")) - F.greatest(F.col("block") * block, F.col("at"))).alias("tokens"),
         )
 
+    def _placed(self, slots: DataFrame, counts: DataFrame) -> DataFrame:
+        """shard, pos, drawn, source, slot, block: which block stands at each place of the mixture.
+
+        A draw beyond the cap of its source is handed to a source with room, by their shares.
+        """
+        src = self.sources
+        n, cap = np.zeros(len(src), dtype=np.int64), src["slots_most"].to_numpy(np.int64)
+        for r in counts.groupBy("k").agg(F.sum("n").alias("n")).collect():  # one row for each target
+            n[r.k] = r.n
+        beyond = np.maximum(n - cap, 0)
+        room = np.maximum(cap - n, 0)
+        extra = np.floor(quotas(np.where(room > 0, src["share"].to_numpy(float), 0.0), room.astype(float), float(beyond.sum()))).astype(np.int64)
+        while (missing := min(beyond.sum(), room.sum()) - extra.sum()) > 0:
+            for k in np.argsort(extra - room, kind="stable")[:missing]:
+                extra[k] += extra[k] < room[k]
+        self.slots_drawn = np.minimum(n, cap) + extra
+        over_from, extra_from = np.cumsum(beyond) - beyond, np.cumsum(extra) - extra
+        by = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values.tolist()]), k + 1)
+        if not len(src):
+            return slots.select("shard", "pos", "drawn", F.lit("").alias("source"), "slot", F.lit(0).cast("long").alias("block")).where("false")
+        k = F.col("drawn")
+        over = F.col("slot") - by(cap, k)
+        over = F.when(over >= 0, over + by(over_from, k))
+        taken = F.lit(None).cast("int")
+        for j in np.flatnonzero(extra):
+            taken = F.when(over.between(int(extra_from[j]), int(extra_from[j] + extra[j] - 1)), int(j)).otherwise(taken)
+        held = slots.withColumn("over", over).withColumn("k", F.when(F.col("over").isNull(), k).otherwise(taken)).where("k is not null")
+        k = F.col("k")
+        slot = F.when(F.col("over").isNull(), F.col("slot")).otherwise(F.col("over") - by(extra_from, k) + by(np.minimum(n, cap), k))
+        seed = src["seed"].to_numpy(np.int64)
+
+        @F.pandas_udf("long")
+        def place(slot: pd.Series, blocks: pd.Series, seed: pd.Series) -> pd.Series:
+            slot, blocks = slot.to_numpy(np.int64), blocks.to_numpy(np.int64)
+            return pd.Series(permuted(slot % blocks, blocks, seed.to_numpy(np.int64) + 7919 * (slot // blocks)))
+
+        named = held.select("shard", "pos", "drawn", by(src["source"].to_numpy(object), k).alias("source"), slot.alias("slot"), by(src["blocks"].to_numpy(np.int64), k).alias("blocks"), by(seed, k).alias("seed"))
+        return named.select("shard", "pos", "drawn", "source", "slot", place("slot", "blocks", "seed").alias("block"))
+
     def content(self) -> DataFrame:
-        """shard, pos, source, id, begin, tokens: the mixture, block by block."""
-        return self.slots.join(self.blocks, ["source", "block"]).select("shard", "pos", "source", "id", "begin", "tokens")
+        """shard, drawn, pos, source, id, begin, tokens: the mixture, block by block."""
+        return self.slots.join(self.blocks, ["source", "block"]).select("shard", "drawn", "pos", "source", "id", "begin", "tokens")
+
+    def _times(self) -> DataFrame:
+        return self.slots.groupBy("source", "block").agg(F.count("*").alias("times"))
 
     def used(self) -> DataFrame:
         """source, id, repeats, tokens: each document in the mixture, how often its most used stretch, and its tokens."""
-        times = self.slots.groupBy("source", "block").agg(F.count("*").alias("times"))
-        return self.blocks.join(times, ["source", "block"]).groupBy("source", "id").agg(F.max("times").alias("repeats"), F.sum(F.col("times") * F.col("tokens")).alias("tokens"))
+        return self.blocks.join(self._times(), ["source", "block"]).groupBy("source", "id").agg(F.max("times").alias("repeats"), F.sum(F.col("times") * F.col("tokens")).alias("tokens"))
 
     def report(self) -> DataFrame:
-        """For each source its target and actual share, its size, and whether it stays short for want of documents."""
-        spark = self.slots.sparkSession
-        times = self.slots.groupBy("source", "block").agg(F.count("*").alias("times"))
-        got = self.blocks.groupBy("source", "block").agg(F.sum("tokens").alias("tokens")).join(times, ["source", "block"])
-        got = got.groupBy("source").agg(F.sum(F.col("times") * F.col("tokens")).alias("mixed_tokens"))
-        base = spark.createDataFrame(self.report_base[["source", "share", "repeats", "source_tokens", "capacity_tokens", "target_tokens"]], "source string, share double, repeats long, source_tokens long, capacity_tokens long, target_tokens double")
+        """For each source its target and actual share, its size, and whether it stays short for want of documents.
+
+        Short is a source all of whose blocks stand in the mixture as often as they may, with fewer tokens than its
+        target. Sizes, shares and slots are those of the drawn mixture.
+        """
+        size = self.blocks.groupBy("source", "block").agg(F.sum("tokens").alias("tokens")).join(self._times(), ["source", "block"], "left")
+        got = size.groupBy("source").agg(F.sum(F.coalesce("times", F.lit(0)) * F.col("tokens")).alias("mixed_tokens"), F.sum(F.coalesce("times", F.lit(0))).alias("slots"))
+        base = self.spark.createDataFrame(self.sources[["source", "share", "source_tokens", "target_tokens", "slots_most"]], "source string, share double, source_tokens long, target_tokens double, slots_most long")
         total = Window.partitionBy()  # over the few rows of the targets
-        mixed = F.coalesce("mixed_tokens", F.lit(0))
-        return base.join(F.broadcast(got), "source", "left").select(
+        mixed, slots = F.coalesce("mixed_tokens", F.lit(0)), F.coalesce("slots", F.lit(0))
+        return base.join(got, "source", "left").select(
             "source",
             F.col("share").alias("target_share"),
             (mixed / F.nullif(F.sum(mixed).over(total), F.lit(0))).alias("actual_share"),
             mixed.alias("mixed_tokens"),
             "source_tokens",
-            (F.col("capacity_tokens") < F.col("target_tokens")).alias("short"),
+            ((slots >= F.col("slots_most")) & (mixed < F.col("target_tokens"))).alias("short"),
         )

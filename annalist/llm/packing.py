@@ -17,6 +17,8 @@ from annalist.storage import Workspace, pick
 
 #: Items of a shard. One shard's sizes and ids are all that a task holds.
 SHARD_ITEMS = 50_000
+#: Copies of a row that are numbered at once.
+COPIES = 4096
 PLACED = "bin_name string, container long, item long, piece int, pieces int, begin long, size long"
 
 
@@ -91,8 +93,11 @@ def pack(items: DataFrame, item: str, size: str, bins: list[tuple[str, int]], sh
     sizes = pick(items, item=item, size=size).select(F.col("item").cast("long").alias("item"), F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"))
     shards = max(1, -(-sizes.count() // shard_items))
     kinds = F.array(*[F.struct(F.lit(n).cast("string").alias("bin_name"), F.lit(c).cast("long").alias("capacity")) for n, c in bins])
-    # The row's own number joins the hash, so that a repeated id cannot fill a shard by itself.
-    spread = sizes.withColumn("shard", F.pmod(F.xxhash64("item", "size", F.monotonically_increasing_id()), F.lit(shards)))
+    # Copies of a row are numbered, in two steps that keep arrays short, so that a repeated id cannot fill a shard.
+    counted = sizes.groupBy("item", "size").agg(F.count("*").alias("copies"))
+    counted = counted.withColumn("from", F.explode(F.expr(f"sequence(0L, copies - 1, {COPIES}L)")))
+    counted = counted.withColumn("copy", F.explode(F.expr(f"sequence(from, least(from + {COPIES}L, copies) - 1)")))
+    spread = counted.withColumn("shard", F.pmod(F.xxhash64("item", "size", "copy"), F.lit(shards))).select("item", "size", "shard")
     spread = spread.withColumn("kind", F.explode(kinds)).select("kind.*", "shard", "item", "size")
 
     def shelve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -124,6 +129,17 @@ def pack(items: DataFrame, item: str, size: str, bins: list[tuple[str, int]], sh
     return spread.groupBy("bin_name", "capacity", "shard").applyInPandas(shelve, PLACED)
 
 
+def filling(placed: DataFrame, bins: list[tuple[str, int]]) -> DataFrame:
+    """bin_name, capacity, containers, tokens, least_containers, fill: how well each kind of container is filled.
+
+    least_containers is what the sizes alone would need, were no item whole.
+    """
+    room = F.coalesce(*[F.when(F.col("bin_name") == n, F.lit(int(c))) for n, c in bins]).cast("long")
+    by_container = placed.groupBy("bin_name", "container").agg(F.sum("size").alias("size"))
+    by = by_container.groupBy("bin_name").agg(F.count("*").alias("containers"), F.sum("size").alias("tokens")).withColumn("capacity", room)
+    return by.select("bin_name", "capacity", "containers", "tokens", F.ceil(F.col("tokens") / F.col("capacity")).alias("least_containers"), (F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("fill"))
+
+
 def sized(documents: DataFrame, id: str, size, space: Workspace | None = None, **others: str) -> DataFrame:
     """Ids with their sizes in tokens, written once so that no text is tokenized twice."""
     space = space or Workspace(documents.sparkSession, "sizes")

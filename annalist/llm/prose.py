@@ -1,8 +1,11 @@
 """Statistics of the quality of a text, and whether it is natural prose.
 
-The statistics are those of published filters: word count and mean word length, ratio of symbols, shares of lines
-that end in punctuation or begin with a bullet, and the share of common words of a language, with fixed
-thresholds and a reason for each rule that fails. They are computed on whole Arrow batches.
+The statistics are those of published filters: word count and mean word length, ratios of symbols, shares of lines
+that end in punctuation or an ellipsis or begin with a bullet, words with a letter, stop words, and the share of
+common words of a language. Fixed thresholds are held against them, with a reason for each rule that fails. Two sets
+of rules stand side by side: `published`, those of the filters for web pages by which whole documents are kept
+(C4, MassiveText and their successors), and `sentences`, which asks whether a text of any length reads as sentences
+of a language. Statistics are computed on whole Arrow batches.
 """
 
 from __future__ import annotations
@@ -30,13 +33,21 @@ MOST_SYMBOLS = 0.25  # of the characters that are not blank, those that are neit
 MOST_INNER_CAPITALS = 0.02  # capitals behind a small letter, for each word
 WORD_LENGTHS = (2.0, 12.0)
 MOST_BULLETS = 0.90
+#: The published thresholds. Words of a document, their mean length, the share of "#" and ellipses to
+#: words, of lines with a bullet, of lines with an ellipsis at the end, of words with a letter; stop words, of which
+#: two must stand in the text.
+PUBLISHED_WORDS, PUBLISHED_LENGTHS = (50, 100_000), (3.0, 10.0)
+PUBLISHED_SYMBOLS, PUBLISHED_BULLETS, PUBLISHED_ELLIPSES, PUBLISHED_LETTERS = 0.1, 0.9, 0.3, 0.8
+STOP_WORDS = "the be to of and that have with".split()
+LEAST_STOP_WORDS = 2
+RULES = ("sentences", "published")
 #: Accented letters and what they are counted as.
-ACCENTS = str.maketrans("àâäáãéèêëíîïìóôöòõúùûüçñÿ", "aaaaaeeeeiiiiooooouuuucny")
+_ACCENTED, _PLAIN = "àâäáãéèêëíîïìóôöòõúùûüçñÿ", "aaaaaeeeeiiiiooooouuuucny"
+ACCENTS = str.maketrans(_ACCENTED, _PLAIN)
 
-SCHEMA = (
-    "id long, words long, mean_word_length double, symbol_ratio double, inner_capitals double, lines long, punctuated_lines double, "
-    "bullet_lines double, common_share double, common_language string, reasons array<string>"
-)
+COUNTS = ("words", "lines", "tokens", "stop_words")
+SHARES = ("mean_word_length", "symbol_ratio", "inner_capitals", "punctuated_lines", "bullet_lines", "ellipsis_lines", "hash_ratio", "lettered", "token_length")
+SCHEMA = ", ".join(["id long", *(f"{c} long" for c in COUNTS), *(f"{c} double" for c in SHARES), "common_share double", "common_language string", *(f"{r} array<string>" for r in RULES)])
 
 
 def _ratio(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -67,19 +78,38 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     known = word.dictionary_encode()
     spelled = [w.translate(ACCENTS) for w in known.dictionary.to_pylist()]
     at = known.indices.to_numpy(zero_copy_only=False)
+    listed = set(STOP_WORDS)
+    stop = np.fromiter((w in listed for w in spelled), dtype=bool, count=len(spelled))
+    hit = stop[at] if len(at) else np.zeros(0, dtype=bool)
+    # Each stop word counts once for a text.
+    pairs = np.unique(of[hit].astype(np.int64) * max(1, len(spelled)) + at[hit]) // max(1, len(spelled))
     shares = {}
     for language, listed in COMMON.items():
         listed = set(listed.split())
         hit = np.fromiter((w in listed for w in spelled), dtype=bool, count=len(spelled))
         shares[language] = _ratio(np.bincount(of[hit[at]] if len(at) else of, minlength=n), words)
+    # Words as the published rules take them: whatever stands between blanks.
+    token, of_token = flat(pc.split_pattern_regex(texts, r"[\s\p{Z}]+"))
+    solid_token = pc.not_equal(token, "").to_numpy(zero_copy_only=False)
+    token, of_token = token.filter(pa.array(solid_token)), of_token[solid_token]
+    tokens = np.bincount(of_token, minlength=n)
+    lettered = pc.match_substring_regex(token, r"\p{L}").to_numpy(zero_copy_only=False)
+    marks = pc.count_substring_regex(texts, r"#|\.\.\.|…").to_numpy(zero_copy_only=False)
     line, of_line = flat(pc.split_pattern_regex(texts, r"[\r\n]+"))
     full = pc.match_substring_regex(line, r"[^\s]").to_numpy(zero_copy_only=False)
     line, of_line = line.filter(pa.array(full)), of_line[full]
     lines = np.bincount(of_line, minlength=n)
     ends = pc.match_substring_regex(line, r"[.!?;:…][\"'”’»)\]]*\s*$").to_numpy(zero_copy_only=False)
     bullet = pc.match_substring_regex(line, r"^\s*(?:[-*•‣–—]|\d{1,4}[.)]|\[\d+\])\s").to_numpy(zero_copy_only=False)
+    trails = pc.match_substring_regex(line, r"(?:\.\.\.|…)\s*$").to_numpy(zero_copy_only=False)
     return {
         "words": words,
+        "tokens": tokens,
+        "token_length": _ratio(np.bincount(of_token, weights=_length(token), minlength=n), tokens),
+        "stop_words": np.bincount(pairs, minlength=n),
+        "hash_ratio": _ratio(marks, tokens),
+        "lettered": _ratio(np.bincount(of_token[lettered], minlength=n), tokens),
+        "ellipsis_lines": _ratio(np.bincount(of_line[trails], minlength=n), np.bincount(of_line, minlength=n)),
         "mean_word_length": _ratio(letters, words),
         "symbol_ratio": _ratio(symbols, _length(solid)),
         "inner_capitals": _ratio(inner, words),
@@ -97,29 +127,41 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enough = np.stack([shares[i] >= LEAST_COMMON[k] for i, k in enumerate(languages)])
         # The language is the one furthest above its own threshold.
         best = np.argmax(shares / np.array([[LEAST_COMMON[k]] for k in languages]), axis=0)
+        outside = lambda c, bounds: (m[c] < bounds[0]) | (m[c] > bounds[1])
         rules = {
-            "no words": m["words"] == 0,
-            "common words are rare": ~enough.any(axis=0),
-            "symbols": m["symbol_ratio"] > MOST_SYMBOLS,
-            "capitals inside words": m["inner_capitals"] > MOST_INNER_CAPITALS,
-            "word length": (m["mean_word_length"] < WORD_LENGTHS[0]) | (m["mean_word_length"] > WORD_LENGTHS[1]),
-            "bullets": (m["bullet_lines"] > MOST_BULLETS) & (m["punctuated_lines"] < 0.1) & (m["lines"] > 3),
+            "sentences": {
+                "no words": m["words"] == 0,
+                "common words are rare": ~enough.any(axis=0),
+                "symbols": m["symbol_ratio"] > MOST_SYMBOLS,
+                "capitals inside words": m["inner_capitals"] > MOST_INNER_CAPITALS,
+                "word length": outside("mean_word_length", WORD_LENGTHS),
+                "bullets": (m["bullet_lines"] > MOST_BULLETS) & (m["punctuated_lines"] < 0.1) & (m["lines"] > 3),
+            },
+            "published": {
+                "word count": outside("tokens", PUBLISHED_WORDS),
+                "word length": outside("token_length", PUBLISHED_LENGTHS),
+                "symbols to words": m["hash_ratio"] > PUBLISHED_SYMBOLS,
+                "bullets": m["bullet_lines"] > PUBLISHED_BULLETS,
+                "ellipses": m["ellipsis_lines"] > PUBLISHED_ELLIPSES,
+                "words without letters": m["lettered"] < PUBLISHED_LETTERS,
+                "stop words": m["stop_words"] < LEAST_STOP_WORDS,
+            },
         }
-        failed = np.stack(list(rules.values()))
-        names = list(rules)
-        reasons = [[names[i] for i in np.flatnonzero(failed[:, j])] for j in range(batch.num_rows)]
-        columns = [batch.column("id")]
-        columns += [pa.array(m[k], pa.int64() if k in ("words", "lines") else pa.float64()) for k in ("words", "mean_word_length", "symbol_ratio", "inner_capitals", "lines", "punctuated_lines", "bullet_lines")]
-        columns += [pa.array(shares[best, np.arange(batch.num_rows)]), pa.array([languages[b] for b in best], pa.string()), pa.array(reasons, pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["id", "words", "mean_word_length", "symbol_ratio", "inner_capitals", "lines", "punctuated_lines", "bullet_lines", "common_share", "common_language", "reasons"])
+        columns = {"id": batch.column("id")} | {c: pa.array(m[c], pa.int64()) for c in COUNTS} | {c: pa.array(m[c], pa.float64()) for c in SHARES}
+        columns |= {"common_share": pa.array(shares[best, np.arange(batch.num_rows)]), "common_language": pa.array([languages[b] for b in best], pa.string())}
+        for name, tests in rules.items():
+            failed, reasons = np.stack(list(tests.values())), list(tests)
+            columns[name] = pa.array([[reasons[i] for i in np.flatnonzero(failed[:, j])] for j in range(batch.num_rows)], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def quality(documents: DataFrame, id: str, text: str) -> DataFrame:
-    """The statistics of each document, and the reasons why it is no natural prose: none, and it is.
+    """The statistics of each document, and by each set of rules the reasons why it is no natural prose: none, and it is.
 
     Every row of `documents` gives a row, repeated and null ids included; further columns are ignored. A null or
     blank text has no words and is no prose. Texts are taken whole, whatever their length; composed and
-    decomposed letters count alike. The language is not taken from the table but from the common words.
+    decomposed letters count alike. The language is not taken from the table but from the common words; the stop
+    words of the published rules are those of English.
     """
     narrow = pick(documents, id=id, text=text).select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(_judge, SCHEMA)
