@@ -1,146 +1,159 @@
-"""Exact radius joins of short strings under a true edit metric, by partitioning of the metric space.
+"""Exact radius joins of strings under a true edit metric, by partitioning of the metric space.
 
 The metric is the unrestricted Damerau-Levenshtein distance (insert, delete, replace, swap of neighbours), which
-obeys the triangle inequality. Pivots are the strings that occur most often, so that misspellings lie beside them.
-A string at distance e <= 1 from its nearest pivot lives in that pivot's cell and visits the cell of every pivot
-within e + 2: any string within 1 of it lives in one of them. A string farther than 1 from all pivots visits the
-cells of the pivots within 2, which holds its pairs with strings that live in cells, and goes on to the next
-level, where pivots are chosen among such strings only. Inside a cell all pairs are measured.
+obeys the triangle inequality. Pivots are the strings that occur more than once: a slip stands beside the spelling
+it comes from. Each string is assigned to the pivots within 2 of it. It lives in the cell of the nearest, if that
+is within 1 (at distance e), and visits the cells of the pivots within e + 1: of two strings one apart, the one
+farther from its pivot lies within e + 1 of the other's pivot, so the two meet there. Strings that live nowhere
+visit all cells of their pivots and go on to a second level, where each of them is a pivot. In each cell those who
+live there are held against its visitors with the metric.
+
+The pivots of a string are found by what is left of both after up to two letters are taken away, which two strings
+within 2 have in common; long strings by their parts. So the work grows with the number of strings, not with
+strings times pivots, and no pivot is held by the driver or sent to all tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalist.storage import Workspace
 
-#: Pivots of a level. The driver and each task hold them: at most so many short strings.
-MAX_PIVOTS = 20_000
-REACH = 3
-
-
-class Spelled:
-    """Strings as arrays, for distances of many pairs at once."""
-
-    def __init__(self, strings: list[str]) -> None:
-        self.length = np.array([len(s) for s in strings], dtype=np.int16)
-        width = int(self.length.max(initial=1))
-        self.code = np.zeros((len(strings), width), dtype=np.uint32)
-        for i, s in enumerate(strings):
-            self.code[i, : len(s)] = np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32)
-        slot = self.code % 61
-        used = self.code > 0
-        self.mask = np.zeros(len(strings), dtype=np.uint64)
-        self.count = np.zeros((len(strings), 61), dtype=np.int8)
-        for j in range(width):
-            at = np.flatnonzero(used[:, j])
-            self.mask[at] |= np.uint64(1) << slot[at, j].astype(np.uint64)
-            np.add.at(self.count, (at, slot[at, j]), 1)
-
-
-def distances(a: Spelled, i: np.ndarray, b: Spelled, j: np.ndarray) -> np.ndarray:
-    """The unrestricted Damerau-Levenshtein distance of the pairs a[i], b[j]."""
-    if not len(i):
-        return np.zeros(0, dtype=np.int16)
-    both, codes = np.unique(np.concatenate([a.code[i].ravel(), b.code[j].ravel()]), return_inverse=True)
-    x = codes[: len(i) * a.code.shape[1]].reshape(len(i), -1)
-    y = codes[len(i) * a.code.shape[1] :].reshape(len(j), -1)
-    n, lx, ly = len(i), int(a.length[i].max()), int(b.length[j].max())
-    far = np.int16(lx + ly + 1)
-    h = np.empty((lx + 2, ly + 2, n), dtype=np.int16)
-    h[0] = far
-    h[:, 0] = far
-    for k in range(lx + 1):
-        h[k + 1, 1] = k
-    for k in range(ly + 1):
-        h[1, k + 1] = k
-    every = np.arange(n)
-    last_row = np.zeros((len(both), n), dtype=np.int16)
-    for r in range(1, lx + 1):
-        last_column = np.zeros(n, dtype=np.int16)
-        for c in range(1, ly + 1):
-            row = last_row[y[:, c - 1], every]
-            same = x[:, r - 1] == y[:, c - 1]
-            swap = h[row, last_column, every] + (r - row - 1) + 1 + (c - last_column - 1)
-            best = np.minimum(h[r, c] + ~same, np.minimum(h[r + 1, c], h[r, c + 1]) + 1)
-            h[r + 1, c + 1] = np.minimum(best, swap)
-            last_column = np.where(same, np.int16(c), last_column)
-        last_row[x[:, r - 1], every] = r
-    return h[a.length[i] + 1, b.length[j] + 1, every]
-
-
-def near(strings: list[str], pivots: Spelled, reach: int = REACH) -> pd.DataFrame:
-    """ix, pivot, distance: the pivots within reach of each string."""
-    own = Spelled(strings)
-    found_i, found_p = [], []
-    for ix in range(len(strings)):
-        # An edit changes the set of letters by two at most, and their counts by two at most.
-        at = np.flatnonzero((np.bitwise_count(pivots.mask ^ own.mask[ix]) <= 2 * reach) & (np.abs(pivots.length - own.length[ix]) <= reach))
-        at = at[np.abs(pivots.count[at] - own.count[ix]).sum(axis=1) <= 2 * reach]
-        found_i.append(np.full(len(at), ix))
-        found_p.append(at)
-    i, p = np.concatenate([*found_i, []]).astype(np.int64), np.concatenate([*found_p, []]).astype(np.int64)
-    d = np.concatenate([distances(own, i[k : k + 20_000], pivots, p[k : k + 20_000]) for k in range(0, len(i), 20_000)] + [np.zeros(0, np.int16)])
-    keep = d <= reach
-    return pd.DataFrame({"ix": i[keep], "pivot": p[keep], "distance": d[keep]})
-
-
-def swapped(a: str, b: str):
-    """Do two strings of equal length differ by one swap of neighbours?"""
-    return F.expr(f"length({a}) = length({b}) and exists(sequence(1, greatest(length({a}) - 1, 1)), i -> concat(substring({a}, 1, i - 1), substring({a}, i + 1, 1), substring({a}, i, 1), substring({a}, i + 2)) = {b})")
-
-
-def pairs_within_one(keys: DataFrame, max_pivots: int = MAX_PIVOTS) -> DataFrame:
-    """a, b with a < b: all pairs of distinct strings at a distance of 1.
-
-    keys: key (string) and freq (long), one row for each distinct key; null keys are left out, the empty string
-    and strings of any length are taken. No keys: no pairs.
+#: The reach of a search for pivots, and the length up to which strings are found by what is left of them.
+REACH, LONG = 2, 24
+
+
+def capped(a: list[str], b: list[str]) -> np.ndarray:
+    """The unrestricted Damerau-Levenshtein distance of each pair, 3 where it is greater than 2.
+
+    Only what lies within two places of the diagonal can be part of a distance of 2, and only swaps with one letter
+    put in or left out between.
+    """
+    n, width = len(a), max([1, *map(len, a), *map(len, b)])
+    x, y = (np.zeros((n, width + 4), dtype=np.uint32) for _ in range(2))
+    for i, (s, t) in enumerate(zip(a, b)):
+        x[i, : len(s)], y[i, : len(t)] = np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32), np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32)
+    lx, ly = np.array([len(s) for s in a], dtype=int), np.array([len(t) for t in b], dtype=int)
+    out = np.full(n, 3, dtype=np.int8)
+    # h[k][:, d + 2]: the distance of the first r - k letters of one and the first r - k + d of the other.
+    h = [np.full((n, 5), 3, dtype=np.int8) for _ in range(4)]
+    for r in range(width + 1):
+        now = np.full((n, 5), 3, dtype=np.int8)
+        for d in range(-2, 3):
+            c = r + d
+            if c < 0 or c > width + 2:
+                continue
+            best = np.full(n, min(3, abs(d)) if r == 0 or c == 0 else 3, dtype=np.int8)
+            if r and c:
+                xr, yc = x[:, r - 1], y[:, c - 1]
+                best = np.minimum(best, h[0][:, d + 2] + (xr != yc))
+                if d < 2:
+                    best = np.minimum(best, h[0][:, d + 3] + 1)
+                if d > -2:
+                    best = np.minimum(best, now[:, d + 1] + 1)
+                if r > 1 and c > 1:
+                    best = np.minimum(best, np.where((x[:, r - 2] == yc) & (xr == y[:, c - 2]), h[1][:, d + 2] + 1, 3))
+                if r > 2 and c > 1 and d < 2:
+                    best = np.minimum(best, np.where((x[:, r - 3] == yc) & (xr == y[:, c - 2]), h[2][:, d + 3] + 2, 3))
+                if r > 1 and c > 2 and d > -2:
+                    best = np.minimum(best, np.where((x[:, r - 2] == yc) & (xr == y[:, c - 3]), h[1][:, d + 1] + 2, 3))
+            now[:, d + 2] = np.minimum(best, 3)
+            done = (lx == r) & (ly == c)
+            out[done] = now[done, d + 2]
+        h = [now, *h[:3]]
+    return out
+
+
+def distance(a: Column, b: Column) -> Column:
+    """The distance of two strings, 3 where it is greater than 2."""
+
+    @F.pandas_udf("int")
+    def each(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(capped(x.tolist(), y.tolist()), dtype="int32")
+
+    return each(a, b)
+
+
+def _left_of(word: str, reach: int) -> str:
+    """SQL of all that is left of a word when up to `reach` letters are taken away."""
+    one = f"transform(sequence(1, greatest(length({word}), 1)), i -> concat(substring({word}, 1, i - 1), substring({word}, i + 1)))"
+    if reach == 1:
+        return f"array_distinct(concat(array({word}), {one}))"
+    # The second letter taken away stands at or behind the place of the first.
+    two = f"flatten(transform({one}, (w, i) -> transform(sequence(i + 1, greatest(length(w), i + 1)), j -> concat(substring(w, 1, j - 1), substring(w, j + 1)))))"
+    return f"array_distinct(concat(array({word}), {one}, {two}))"
+
+
+#: Two strings within two edits, swaps included, differ by four plain edits at most, which leave one of five parts whole.
+PARTS = 5
+
+
+def _part(i: str, shift: str) -> str:
+    return f"xxhash64(m, {i}, substring(key, {i} * (m div {PARTS}) + 1 + {shift}, if({i} = {PARTS - 1}, m - {PARTS - 1} * (m div {PARTS}), m div {PARTS})))"
+
+
+def met(left: DataFrame, right: DataFrame, reach: int = REACH) -> DataFrame:
+    """a, b, distance: all pairs of a string of `left` with a different one of `right` within `reach` (1 or 2).
+
+    left, right: key, each once.
+    """
+    sides = []
+    for side, rows in (("a", left), ("b", right)):
+        rows = rows.select("key", F.length("key").alias("m"))
+        short = rows.where(f"m <= {LONG + reach}").select("key", F.explode(F.transform(F.expr(_left_of("key", reach)), lambda w: F.xxhash64(w))).alias("k"))
+        long = rows.where(f"m > {LONG}")
+        if side == "a":
+            parts = f"transform(sequence(0, {PARTS - 1}), i -> {_part('i', '0')})"
+        else:
+            long = long.withColumn("m", F.explode(F.expr(f"sequence(m - {reach}, m + {reach})")))
+            parts = f"flatten(transform(sequence(-{reach}, {reach}), s -> transform(filter(sequence(0, {PARTS - 1}), i -> i * (m div {PARTS}) + s >= 0), i -> {_part('i', 's')})))"
+        sides.append(short.unionByName(long.select("key", F.explode(F.expr(parts)).alias("k"))).withColumnRenamed("key", side))
+    near = F.expr(f"a <> b and abs(length(a) - length(b)) <= {reach} and levenshtein(a, b, {2 * reach}) >= 0")
+    pairs = sides[0].join(sides[1], "k").where(near).select("a", "b").distinct()
+    return pairs.select("a", "b", distance(F.col("a"), F.col("b")).alias("distance")).where(F.col("distance") <= reach)
+
+
+def assigned(keys: DataFrame, space: Workspace) -> DataFrame:
+    """key, pivot, distance, e, level: each string with the pivots within 2 of it; e is its distance from the nearest.
+
+    keys: key (string), each once, and freq, how often it occurs.
+    """
+    repeated = keys.where("freq > 1").select("key")
+    found = space.write(met(keys.select("key"), repeated), "assigned-0")
+    level = found.toDF("key", "pivot", "distance").unionByName(repeated.select("key", F.col("key").alias("pivot"), F.lit(0).alias("distance")))
+    nearest = level.groupBy("key").agg(F.min("distance").alias("e"))
+    first = space.write(level.join(nearest, "key").withColumn("level", F.lit(0)), "level-0")
+    alone = space.write(keys.select("key").join(nearest.where("e <= 1"), "key", "left_anti"), "alone")
+    more = met(alone, alone).toDF("key", "pivot", "distance").unionByName(alone.select("key", F.col("key").alias("pivot"), F.lit(0).alias("distance")))
+    second = space.write(more.withColumn("e", F.lit(0)).withColumn("level", F.lit(1)), "level-1")
+    return first.unionByName(second)
+
+
+def pairs_within_one(cells: DataFrame) -> DataFrame:
+    """a, b with a < b: all pairs of different strings at a distance of 1; cells: what assigned() gives."""
+    cells = cells.where("distance <= least(e, 1) + 1")
+    lives = cells.where("e <= 1 and distance = e")
+    # Of several pivots equally near, the first is home.
+    home = lives.groupBy("key", "level").agg(F.min("pivot").alias("pivot")).select("level", "pivot", F.col("key").alias("a"))
+    visit = cells.select("level", "pivot", F.col("key").alias("b"), F.length("key").alias("n"))
+    close = home.join(visit, ["level", "pivot"]).where("a <> b and abs(length(a) - n) <= 1 and levenshtein(a, b, 2) between 1 and 2")
+    close = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return close.where(distance(F.col("a"), F.col("b")) == 1)
+
+
+def variants(keys: DataFrame, space: Workspace | None = None) -> DataFrame:
+    """key, near, distance: for each string the others within 1, and the repeated ones within 2, in both orders.
+
+    keys: key (string) and freq (long), one row for each distinct key; null keys are left out, the empty string and
+    strings of any length are taken. No keys: no pairs.
     """
-    spark = keys.sparkSession
-    space = Workspace(spark, "metric")
-    level, found = 0, []
-    left = space.write(keys.where("key is not null").select("key", "freq"), "level-0")
-    while True:
-        # The pivots of a level: a bounded number of strings.
-        pivots = [r.key for r in left.orderBy(F.desc("freq"), "key").select("key").limit(max_pivots).collect()]
-        if not pivots:
-            break
-        shared = spark.sparkContext.broadcast(pivots)
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            at = None
-            for batch in batches:
-                at = at or Spelled(shared.value)
-                strings, freq = batch["key"].tolist(), batch["freq"].to_numpy()
-                hits = near(strings, at)
-                least = np.full(len(strings), REACH + 1)
-                np.minimum.at(least, hits["ix"].to_numpy(), hits["distance"].to_numpy())
-                e = least[hits["ix"].to_numpy()]
-                keep = hits["distance"].to_numpy() <= np.where(e <= 1, e + 2, 2)
-                hits, e = hits[keep], e[keep]
-                home = (e <= 1) & (hits["distance"] == e) & ~hits.assign(home=(e <= 1) & (hits["distance"] == e)).where(lambda t: t["home"])["ix"].duplicated().to_numpy()
-                key = np.array(strings, dtype=object)
-                yield pd.DataFrame({"key": key[hits["ix"]], "freq": freq[hits["ix"]], "pivot": hits["pivot"].to_numpy(), "home": home.to_numpy(), "far": False})
-                lone = np.flatnonzero(least > 1)
-                yield pd.DataFrame({"key": key[lone], "freq": freq[lone], "pivot": -1, "home": False, "far": True})
-
-        spread = left.repartition(max(1, spark.sparkContext.defaultParallelism * 2), "key")
-        cells = space.write(spread.mapInPandas(search, "key string, freq long, pivot long, home boolean, far boolean"), f"cells-{level}")
-        live = cells.where("home").select("pivot", F.col("key").alias("a"))
-        visit = cells.where("not far").select("pivot", F.col("key").alias("b"))
-        close = F.expr("abs(length(a) - length(b)) <= 1 and levenshtein(a, b, 2) between 1 and 2")
-        pairs = live.join(visit, "pivot").where("a <> b").where(close).where((F.levenshtein("a", "b", 2) == 1) | swapped("a", "b"))
-        found.append(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        left = space.write(cells.where("far").select("key", "freq"), f"level-{level + 1}")
-        level += 1
-    if not found:
-        return spark.createDataFrame([], "a string, b string")
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return every.distinct()
+    space = space or Workspace(keys.sparkSession, "metric")
+    keys = space.write(keys.where("key is not null").select("key", "freq"), "keys")
+    cells = assigned(keys, space)
+    one = pairs_within_one(cells).withColumn("distance", F.lit(1))
+    two = cells.where("distance = 2").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"), "distance")
+    both = one.unionByName(two).distinct()
+    return space.write(both.toDF("key", "near", "distance").unionByName(both.select(F.col("b").alias("key"), F.col("a").alias("near"), "distance")), "variants")
