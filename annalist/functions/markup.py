@@ -138,3 +138,8 @@ def xml_attribute(tag: Column, name: str) -> Column:
 
 def xml_first_text(text: Column, name: str) -> Column:
     return _of_text(lambda s: first_text(s, name))(text)
+
+
+def xml_span(text: Column, name: str) -> Column:
+    """What stands between the tags of the first element of a name, as it is written; null where there is none."""
+    return _of_text(lambda s: None if (found := span(s, name)) is None else s[found[0] : found[1]])(text)

@@ -21,12 +21,16 @@ def fold_words(words: Column, start: int = FNV_BASIS) -> Column:
     return F.aggregate(words, F.lit(start).cast("long"), lambda h, w: ((h.bitwiseXOR(w)) * FNV_PRIME).bitwiseAND(F.lit(WORD_MASK).cast("long")))
 
 
+def octets(text: Column) -> Column:
+    """The UTF-8 bytes of a text as an array of longs; none of a null."""
+    digits = F.hex(F.encode(text, "UTF-8"))
+    each = F.when(F.length(digits) > 0, F.transform(F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2)), lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("long")))
+    return F.coalesce(each, F.array().cast("array<long>"))
+
+
 def name_identifier(text: Column) -> Column:
     """The identity of a name: FNV-1a over its UTF-8 bytes, 0 moved to 1. Null stays null."""
-    digits = F.hex(F.encode(text, "UTF-8"))
-    octets = F.when(F.length(digits) > 0, F.transform(F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2)), lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("long")))
-    octets = F.coalesce(octets, F.array().cast("array<long>"))
-    folded = fold_words(octets)
+    folded = fold_words(octets(text))
     return F.when(text.isNotNull(), F.when(folded == 0, F.lit(1)).otherwise(folded))
 
 
@@ -50,6 +54,24 @@ def passage_locus(passage: Column) -> Column:
     return F.when(sound, F.struct(level(3).alias("part"), level(2).alias("section"), level(1).alias("line")))
 
 
+def resolve_urn(urn: Column) -> Column:
+    """struct(work, part, section, line) of a urn:cts: name; null where it is none or its passage is malformed.
+
+    A name without a passage is the whole work, at 0, 0, 0.
+    """
+    passage = urn_part(urn, 3)
+    at = passage_locus(passage)
+    zero = F.lit(0).cast("long")
+    level = lambda c: F.coalesce(at.getField(c), zero).alias(c)
+    sound = urn_part(urn, 2).isNotNull() & (passage.isNull() | at.isNotNull())
+    return F.when(sound, F.struct(work_identifier(urn).alias("work"), level("part"), level("section"), level("line")))
+
+
+def line_locus(heading: Column, line: Column) -> Column:
+    """The position of a line of a plain text: no part, its heading, its number."""
+    return F.struct(F.lit(0).cast("long").alias("part"), heading.cast("long").alias("section"), line.cast("long").alias("line"))
+
+
 def render_locus(part: Column, section: Column, line: Column) -> Column:
     """Dotted numbers without empty leading levels."""
     shown = F.when(part != 0, F.concat_ws(".", part, section, line)).when(section != 0, F.concat_ws(".", section, line)).otherwise(line.cast("string"))
@@ -132,6 +154,32 @@ def footnote_name(canonical: Column, chapter: Column, number: Column) -> Column:
     return F.concat(canonical, F.lit("#ch"), chapter.cast("string"), F.lit("[^"), number, F.lit("]"))
 
 
+def note_numbers(text: Column) -> Column:
+    """The numbers of the footnote markers in a text."""
+    return F.regexp_extract_all(text, F.lit(r"\[\^([0-9]{1,6})\]"), 1)
+
+
+def source_tags(text: Column) -> Column:
+    """The tags of sources in a text, like S12."""
+    return F.regexp_extract_all(text, F.lit(r"\[(S[0-9]{1,6})\]"), 1)
+
+
+def heading_depth(line: Column) -> Column:
+    """How deep a heading a line is, 0 for none."""
+    return F.length(F.regexp_extract(line, "^(#{1,6}) ", 1))
+
+
+def authority_key(key: Column) -> Column:
+    """struct(authority, key) of a key cut at its first comma; null where a side is empty."""
+    part = lambda i: F.regexp_extract(key, "(?s)^([^,]+),(.+)$", i)
+    return F.when(part(1) != "", F.struct(part(1).alias("authority"), part(2).alias("key")))
+
+
+def authority_id(key: Column) -> Column:
+    """The identity of a whole key of an authority; null where it is none."""
+    return F.when(authority_key(key).isNotNull(), name_identifier(key))
+
+
 #: Providers with the kind of their sources and the confidence they get (Q16.16).
 PROVIDERS = {"openalex": (0, 52429), "arxiv": (3, 42598), "wikipedia": (3, 36045), "github": (2, 32768), "stackexchange": (3, 26214)}
 OTHER_PROVIDER = 22938
@@ -144,6 +192,14 @@ def provider_confidence(provider: Column) -> Column:
     return chosen
 
 
+def provider_kind(provider: Column) -> Column:
+    """The kind of source that a provider gives; 3 where it is unknown."""
+    chosen = F.lit(3)
+    for name, (kind, _) in PROVIDERS.items():
+        chosen = F.when(provider == name, kind).otherwise(chosen)
+    return chosen
+
+
 #: Feature types of places by the bit they set.
 PLACE_KINDS = [
     (1, "settlement villa vicus urban"), (2, "urban"), (4, "river lake spring well bay canal"), (8, "fort fortification wall tower military-installation"),
