@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.functions.texts import FULL, normalise_claim
+from annalist.functions.texts import FULL, name_identifier, normalise_claim
 
 MOST_PROPOSALS = 64
 
@@ -32,9 +32,19 @@ def ground(claims: DataFrame) -> DataFrame:
     return claims.withColumn("outcome", outcome)
 
 
+class Crowded(ValueError):
+    """A passage has more proposals than are allowed."""
+
+
 def synthesise(claims: DataFrame, passage_id: str) -> DataFrame:
     """Grounded claims; a passage with more proposals than are allowed fails the batch."""
     crowded = claims.groupBy(passage_id).agg(F.count("*").alias("n")).where(F.col("n") > MOST_PROPOSALS)
     if not crowded.isEmpty():
-        raise ValueError(f"a passage has more than {MOST_PROPOSALS} proposals")
+        raise Crowded(f"a passage has more than {MOST_PROPOSALS} proposals")
     return ground(claims)
+
+
+def testimonies(claims: DataFrame, source: str) -> DataFrame:
+    """claim, source: who testifies to what, each once; a claim is named by its parts with case and blanks made equal."""
+    parts = [normalise_claim(F.coalesce(F.col(c), F.lit(""))) for c in ("subject", "predicate", "object")]
+    return claims.select(name_identifier(F.concat_ws("\x1f", *parts)).alias("claim"), F.col(source).alias("source")).distinct()

@@ -48,13 +48,53 @@ def resample(cells: DataFrame, rows: int, cols: int, numerator: int, denominator
     return spread.withColumn("c", F.explode(targets("col", cols))).select(F.col("r").alias("row"), F.col("c").alias("col"), "m")
 
 
-def tiles(cells: DataFrame, size: int, last_z: int, last_x: int) -> DataFrame:
+def header(cells: DataFrame) -> DataFrame:
+    """One row: rows, cols, cells, voids, lowest, highest of a raster; its shape is that of the greatest row and column."""
+    m = F.when(F.col("m") != VOID, F.col("m"))
+    size = lambda c: (F.coalesce(F.max(c), F.lit(-1)) + 1).cast("long")
+    return cells.agg(size("row").alias("rows"), size("col").alias("cols"), F.count("*").alias("cells"), F.count_if(F.col("m") == VOID).alias("voids"), F.min(m).alias("lowest"), F.max(m).alias("highest"))
+
+
+def exposed_edges(x, z, last_x, last_z):
+    """The bits of the borders of the plan that a tile lies on."""
+    bit = lambda where, b: F.when(where, b).otherwise(0)
+    return bit(x == 0, WEST) + bit(x == last_x, EAST) + bit(z == 0, NORTH) + bit(z == last_z, SOUTH)
+
+
+def tiles(cells: DataFrame, size: int) -> DataFrame:
     """tile_z, tile_x, cells, edges of the tiles that hold anything; edges: bits of the borders of the plan."""
     at = cells.withColumn("tile_z", F.floor(F.col("row") / size).cast("int")).withColumn("tile_x", F.floor(F.col("col") / size).cast("int"))
     held = at.groupBy("tile_z", "tile_x").agg(F.count_if(F.col("m") != VOID).alias("cells")).where("cells > 0")
-    bit = lambda where, b: F.when(where, b).otherwise(0)
-    x, z = F.col("tile_x"), F.col("tile_z")
-    return held.withColumn("edges", bit(x == 0, WEST) + bit(x == last_x, EAST) + bit(z == 0, NORTH) + bit(z == last_z, SOUTH))
+    shape = header(cells).select(F.expr(f"(cols - 1) div {size}").alias("last_x"), F.expr(f"(rows - 1) div {size}").alias("last_z"))
+    edges = exposed_edges(F.col("tile_x"), F.col("tile_z"), F.col("last_x"), F.col("last_z"))
+    return held.crossJoin(F.broadcast(shape)).select("tile_z", "tile_x", "cells", edges.alias("edges"))
+
+
+def tile_path(base, level, x, z, suffix: str = ".tile"):
+    """Where a tile is kept: east or west, south or north, five digits each, so that names sort as the tiles lie."""
+    part = lambda v, less, more: F.concat(F.when(v < 0, less).otherwise(more), F.lpad(F.abs(v).cast("string"), 5, "0"))
+    return F.concat(base, F.lit(".L"), level.cast("string"), F.lit("."), part(x, "w", "e"), F.lit("."), part(z, "n", "s"), F.lit(suffix))
+
+
+def field(cells: DataFrame, size: int, blend: int) -> DataFrame:
+    """tile_z, tile_x, row, col, m, edges, blend: the samples of each tile by their place in it, as a viewer takes them.
+
+    blend: the width of the seam in cells, stated for the whole plan; more than half a tile is taken as half.
+    """
+    at = cells.withColumn("tile_z", F.floor(F.col("row") / size).cast("int")).withColumn("tile_x", F.floor(F.col("col") / size).cast("int"))
+    inner = at.select("tile_z", "tile_x", (F.col("row") % size).alias("row"), (F.col("col") % size).alias("col"), "m")
+    return inner.join(tiles(cells, size).select("tile_z", "tile_x", "edges"), ["tile_z", "tile_x"]).withColumn("blend", F.lit(min(blend, size // 2)))
+
+
+def bake(cells: DataFrame, path: str, factor: int, size: int, attribution: str) -> DataFrame:
+    """A raster reduced, cut into tiles and written to path, one folder for each tile that holds anything.
+
+    tile_z, tile_x, cells, edges, file, attribution of the tiles that were written.
+    """
+    small = reduce(cells, factor)
+    field(small, size, size // 8).repartition("tile_z", "tile_x").write.mode("overwrite").partitionBy("tile_z", "tile_x").parquet(path)
+    name = tile_path(F.lit("survey"), F.lit(0), F.col("tile_x"), F.col("tile_z"))
+    return tiles(small, size).withColumn("file", name).withColumn("attribution", F.lit(attribution))
 
 
 def window(cells: DataFrame, side: int) -> DataFrame:
@@ -70,3 +110,24 @@ def residency(tiles: DataFrame, resident: DataFrame, eye_x: int, eye_z: int, rea
     held = resident.select("tile_x", "tile_z", F.lit(True).alias("held"))
     both = wanted.join(held, ["tile_x", "tile_z"], "full")
     return both.select("tile_x", "tile_z", F.when(F.col("wanted") & F.col("held"), "keep").when(F.col("wanted"), "load").otherwise("evict").alias("action"))
+
+
+def walk(cells: DataFrame, size: int, steps: int, reach: int) -> DataFrame:
+    """One row: answered, blind, loaded, evicted, missing, peak of a walk along the first row, a cell a step.
+
+    At each step the tiles within reach of the walker's tile are wanted; those that the plan lacks are missing. A
+    tile is loaded when it comes into reach and evicted when it leaves it; on a line both happen once for each.
+    """
+    spark = cells.sparkSession
+    line = spark.range(steps).select(F.col("id").alias("col"), F.floor(F.col("id") / size).cast("int").alias("at"))
+    ground = cells.where(f"row = 0 and m <> {VOID}").select(F.col("col").cast("long").alias("col"), F.lit(True).alias("ground")).distinct()
+    seen = line.join(ground, "col", "left").agg(F.count("ground").alias("answered"), F.count_if(F.col("ground").isNull()).alias("blind"))
+    places = line.select("at").distinct()
+    near = lambda c: F.explode(F.sequence(F.col(c) - reach, F.col(c) + reach))
+    wanted = places.withColumn("tile_x", near("at")).withColumn("tile_z", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
+    there = tiles(cells, size).select("tile_x", "tile_z", F.lit(True).alias("there"))
+    held = wanted.join(there, ["tile_x", "tile_z"], "left")
+    by_place = held.groupBy("at").agg(F.count("there").alias("resident"), F.count_if(F.col("there").isNull()).alias("missing"))
+    each = held.where("there").groupBy("tile_x", "tile_z").agg(F.max("at").alias("last"))
+    gone = each.crossJoin(F.broadcast(places.agg(F.max("at").alias("end")))).agg(F.count("*").alias("loaded"), F.count_if(F.col("last") < F.col("end")).alias("evicted"))
+    return seen.crossJoin(by_place.agg(F.sum("missing").alias("missing"), F.max("resident").alias("peak"))).crossJoin(gone).select("answered", "blind", "loaded", "evicted", "missing", "peak")
