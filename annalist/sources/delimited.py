@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalist.functions.numbers import degrees_to_raw, read_year
+from annalist.operators.order import running
 from annalist.storage import pick
 
 #: A character that separates fields once quotes are taken off; where it stands in a text it becomes a blank.
@@ -54,6 +55,22 @@ def quoted_fields(text: Column) -> Column:
     return F.get(F.transform(F.array(F.split(F.translate(text, UNIT, " "), '"', -1)), taken_apart), F.lit(0))
 
 
+def logical_records(lines: DataFrame, file: str, line: str, text: str) -> DataFrame:
+    """file, record, text: the records of delimited files, in which a quoted field may hold line breaks.
+
+    lines: file, number of the line from 0, its text. A record goes on while its quotes are open, that is while their
+    number is odd; the sums that tell are prefix-combined over chunks, so a file of any length is spread. A record is
+    numbered by its first line. An empty line outside of quotes is no record; quotes left open end with the file.
+    """
+    rows = pick(lines, file=file, line=line, text=text).withColumn("text", F.coalesce("text", F.lit("")))
+    quotes = F.length("text") - F.length(F.replace("text", F.lit('"'), F.lit("")))
+    inside = running(rows, "file", "line", quotes, "before")
+    opens = F.when(F.col("before") % 2 == 0, 1).otherwise(0)
+    counted = running(inside.withColumn("opens", opens), "file", "line", F.col("opens"), "ahead").withColumn("nth", F.col("ahead") + F.col("opens"))
+    held = counted.groupBy("file", "nth").agg(F.min("line").alias("record"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda r: r["text"]), "\n").alias("text"))
+    return held.where("text not in ('', '\\r')").select("file", "record", "text")
+
+
 def csv_fields(text: Column) -> Column:
     """quoted_fields() of a record after its carriage return is taken off."""
     return quoted_fields(without_return(text))
@@ -102,7 +119,7 @@ HOLDINGS_COLUMNS = {"identifier": 0, "access": 1, "rights": 2, "oclc": 7, "title
 GAZETTEER = Feed(
     "gazetteer",
     {
-        "id": lambda v: F.when(~v.rlike(r"\A\+?[0-9]*[1-9][0-9]*\z"), F.lit("no positive integer")),
+        "id": lambda v: F.when(~v.rlike(r"\A[0-9]*[1-9][0-9]*\z"), F.lit("no positive integer")),
         "reprLat": _decimal_within(90),
         "reprLong": _decimal_within(180),
         "minDate": _integer_or_empty,

@@ -7,14 +7,25 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annalist.operators.order import numbered
+
 FORMAT_VERSION = 1
 #: The names of the section types.
 SECTIONS = {1: "vocabulary", 2: "sources", 3: "facts", 4: "documents", 5: "loci", 6: "texts", 7: "ecc", 8: "catalogue", 9: "gazetteer", 10: "place-link", 11: "candidate", 12: "attribution", 13: "relief"}
 SORTED_BY = {"facts": ["subject", "from_day", "predicate"], "vocabulary": ["id"]}
 
 
+#: Fixed by this engine: the words for why an image is refused.
+STATUS = ("unsourced fact", "name collision", "bad manifest", "bad version", "section out of range", "short section", "size mismatch", "content hash mismatch", "missing part")
+
+
 class ImageRefused(ValueError):
-    """Why an image is not opened."""
+    """Why an image is not opened: a stable word, and what it is about."""
+
+    def __init__(self, status: str, about: str = "") -> None:
+        assert status in STATUS
+        super().__init__(f"{status}: {about}" if about else status)
+        self.status, self.about = status, about
 
 
 def section_name(section: Column) -> Column:
@@ -73,17 +84,59 @@ class Image:
         try:
             rows = self.spark.read.parquet(f"{self.path}/{name}")
         except Exception as e:
-            raise ImageRefused(f"section out of range: {name}") from e
+            raise ImageRefused("section out of range", name) from e
         if sorted(rows.columns) != sorted(said["columns"]):
-            raise ImageRefused(f"short section: {name}")
+            raise ImageRefused("short section", name)
         n, s = digest(rows)
         if n != said["rows"]:
-            raise ImageRefused(f"size mismatch: {name}")
+            raise ImageRefused("size mismatch", name)
         if s != said["digest"]:
-            raise ImageRefused(f"content hash mismatch: {name}")
+            raise ImageRefused("content hash mismatch", name)
 
     def has(self, name: str) -> bool:
         return name in self.manifest["sections"]
 
     def section(self, name: str) -> DataFrame | None:
         return self.spark.read.parquet(f"{self.path}/{name}") if self.has(name) else None
+
+    def at(self, name: str, place: int, order: list[str]) -> DataFrame:
+        """The record of a section at a place from 1 in an order; none beyond its end, and none of a section it lacks."""
+        rows = self.section(name)
+        if rows is None or place < 1 or place > self.manifest["sections"][name]["rows"]:
+            return self.spark.createDataFrame([], rows.schema if rows is not None else "place long")
+        return numbered(rows, [F.col(c).asc_nulls_first() for c in order]).where(F.col("place") == place).drop("place")
+
+
+def part_path(base: str, part: int) -> str:
+    """Where part N of an image lies; part 0 is the image itself."""
+    return base if part == 0 else f"{base}.part{part:03d}"
+
+
+#: How far beyond the last part a part is looked for that would show a hole.
+GAP_PROBE = 4
+
+
+def parts(spark: SparkSession, base: str, probe: int = GAP_PROBE) -> list[str]:
+    """The paths of an image and its parts; a hole in their numbers refuses the set."""
+    jvm = spark.sparkContext._jvm
+
+    def there(part: int) -> bool:
+        where = jvm.org.apache.hadoop.fs.Path(part_path(base, part))
+        return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+    found = [base]
+    while there(len(found)):
+        found.append(part_path(base, len(found)))
+    for ahead in range(1, probe + 1):
+        if there(len(found) + ahead):
+            raise ImageRefused("missing part", part_path(base, len(found)))
+    return found
+
+
+def union_section(spark: SparkSession, paths: list[str], name: str) -> DataFrame | None:
+    """The rows of a section of several images, each opened with its checks; none if none has it."""
+    rows = [image.section(name) for image in (Image(spark, p) for p in paths) if image.has(name)]
+    every = rows[0] if rows else None
+    for more in rows[1:]:
+        every = every.unionByName(more)
+    return every

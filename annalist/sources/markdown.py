@@ -90,7 +90,7 @@ def facts(resolved: DataFrame) -> DataFrame:
 def report(documents: DataFrame, scanned: DataFrame, resolved: DataFrame) -> DataFrame:
     """One row of tallies, with the first offender of each kind."""
     role, outcome = F.col("role"), F.col("outcome")
-    at = F.struct("doc", "line")
+    at = F.struct("doc", "line", "name")
     tallied = resolved.agg(
         F.count_if((role == "definition") & (outcome == "defined")).alias("definitions"), F.count_if(role == "citation").alias("citations"),
         F.count_if((role == "citation") & (outcome == "dangling")).alias("dangling"), F.count_if((role == "citation") & (outcome == "noise")).alias("unknown_scheme"),
@@ -99,5 +99,12 @@ def report(documents: DataFrame, scanned: DataFrame, resolved: DataFrame) -> Dat
         F.count_if((role == "note citation") & (outcome == "noise")).alias("footnote_noise"),
         F.min_by(F.when(outcome == "dangling", F.col("name")), F.when(outcome == "dangling", at)).alias("first_dangling"), F.min_by(F.when(outcome == "duplicate", F.col("name")), F.when(outcome == "duplicate", at)).alias("first_duplicate"),
     )
-    seen = scanned.agg(F.count("*").alias("lines"), F.count_if("is_heading").alias("headings"), F.count_if(F.col("is_heading") & (F.col("year") != 0)).alias("dated")).first()
-    return tallied.withColumns({"documents": F.lit(documents.count()).cast("long"), "lines": F.lit(seen.lines).cast("long"), "headings": F.lit(seen.headings).cast("long"), "dated": F.lit(seen.dated).cast("long")})
+    seen = scanned.agg(F.count("*").alias("lines"), F.count_if("is_heading").alias("headings"), F.count_if(F.col("is_heading") & (F.col("year") != 0)).alias("dated"))
+    return tallied.crossJoin(F.broadcast(seen)).crossJoin(F.broadcast(documents.agg(F.count("*").alias("documents"))))
+
+
+def definitions(resolved: DataFrame) -> DataFrame:
+    """name, defined_in, text, citations, documents: each name with its definition, how often and in how many documents it is cited."""
+    homes = resolved.where("outcome = 'defined'").select("name", F.col("doc").alias("defined_in"), F.col("text"))
+    cited = resolved.where("outcome = 'resolved'").groupBy("name", "doc").agg(F.count("*").alias("n")).groupBy("name").agg(F.sum("n").alias("citations"), F.count("*").alias("documents"))
+    return homes.join(cited, "name", "left").na.fill(0, ["citations", "documents"])
