@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -29,10 +30,14 @@ def session(cores: str = "*", partitions: int = 8) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Where the setting is absent (local runs and tests) a folder of this machine is made and set.
+    Where the setting is absent in a local run, as in tests, a folder of this machine is made and set. On a cluster
+    its executors would each write to a disk of their own, so there it is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[[^\]]*\])?$", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master {master!r})")
         at = tempfile.mkdtemp(prefix="annalist-")
         atexit.register(shutil.rmtree, at, True)
         at = f"file://{at}"
