@@ -12,5 +12,5 @@ ORACLE = problems.ORACLE | {k: s for b in BOOKS for k, s in b.oracle.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts of a span of years with their citations."""
-    return facts.cite(spark, sf_dir)
+    """The facts of a span of years with their citations."""
+    return facts.span_cited(spark, sf_dir)

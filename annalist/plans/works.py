@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from annalist.functions import language
 from annalist.functions import texts as t
-from annalist.functions.numbers import degrees_to_raw
-from annalist.operators.components import components
+from annalist.functions.numbers import degrees_to_raw, read_year
+from annalist.operators import order, places, resolve
+from annalist.operators.catalogue import CatalogueQuery, browse
 from annalist.operators.holdings import holdings_clusters
-from annalist.operators.setjoin import PROPOSE, prefixes, similar_pairs
+from annalist.operators.setjoin import PROPOSE, abbreviations, prefixes, similar_pairs
 from annalist.plans.book import Book
-from annalist.plans.problems import _FIELDS, _HOLDINGS
+from annalist.plans.problems import _FIELDS, _GAZETTEER, _HOLDINGS
 from annalist.sources import delimited
-from annalist.storage import table
+from annalist.sources.image import parts, union_section, write_image
+from annalist.storage import Workspace, table
+from annalist.streaming.sinks import local_clusters
 
 book = Book()
 _NORM = "trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
@@ -29,14 +32,13 @@ def catalogue(spark: SparkSession, d: str) -> DataFrame:
 @book("""select entry_id from catalogue where holder = 'velmar' and lang_tag = 7 and (flags & 1) = 1 and (flags & 4) = 0
  and year_from <> 0 and year_from <= 1750 and coalesce(nullif(year_to, 0), year_from) >= 1600""")
 def catalogue_match(spark, d):
-    flags, until = F.col("flags"), F.coalesce(F.nullif("year_to", F.lit(0)), "year_from")
-    where = (F.col("holder") == "velmar") & (F.col("lang_tag") == 7) & (flags.bitwiseAND(1) == 1) & (flags.bitwiseAND(4) == 0)
-    return catalogue(spark, d).where(where & F.expr("year_from <> 0 and year_from <= 1750") & (until >= 1600)).select("entry_id")
+    query = CatalogueQuery(holder="velmar", language=7, flags=1, without=4, year_from=1600, year_to=1750)
+    return catalogue(spark, d).where(query.condition()).select("entry_id")
 
 
 @book("select entry_id, title from catalogue where contains(title, 'Salt Works')")
 def catalogue_title_like(spark, d):
-    return catalogue(spark, d).where(F.col("title").contains("Salt Works")).select("entry_id", "title")
+    return catalogue(spark, d).where(CatalogueQuery(title="Salt Works").condition()).select("entry_id", "title")
 
 
 @book("select entry_id, title, creator, address, holder, year_from, coalesce(nullif(year_to, 0), year_from) as year_to, lang_tag, flags from catalogue")
@@ -44,34 +46,40 @@ def catalogue_at(spark, d):
     return catalogue(spark, d).select("entry_id", "title", "creator", "address", "holder", "year_from", F.coalesce(F.nullif("year_to", F.lit(0)), "year_from").alias("year_to"), "lang_tag", "flags")
 
 
-@book("""with m as (select entry_id, title from catalogue where year_from between 1700 and 1800 and title is not null)
+@book("""with m as (select entry_id, title from catalogue where year_from <> 0 and year_from <= 1800 and coalesce(nullif(year_to, 0), year_from) >= 1700)
  select entry_id, title, (select count(*) from m) as matched, (select count(*) from catalogue) as total from m order by entry_id limit 20""")
 def browse_topn(spark, d):
-    found = catalogue(spark, d).where("year_from between 1700 and 1800 and title is not null").select("entry_id", "title")
-    total, matched = catalogue(spark, d).count(), found.count()
-    return found.orderBy("entry_id").limit(20).withColumns({"matched": F.lit(matched).cast("long"), "total": F.lit(total).cast("long")})
+    return browse(catalogue(spark, d), CatalogueQuery(year_from=1700, year_to=1800), 20).select("entry_id", "title", "matched", "total")
 
 
-@book("select entry_id, title from catalogue where entry_id % 2 = 0 union all select entry_id, title from catalogue where entry_id % 2 = 1")
+@book("select entry_id, title, holder from catalogue")
 def union_images(spark, d):
-    odd = F.col("entry_id") % 2
-    parts = [catalogue(spark, d).where(odd == r).select("entry_id", "title") for r in (0, 1)]
-    return parts[0].unionByName(parts[1])
+    """The catalogue kept as images, one for each holder and numbered as parts, found again by their numbers and read as one."""
+    rows = catalogue(spark, d).select("entry_id", "title", "holder")
+    base = f"{Workspace(spark, 'images').root}/catalogue"
+    holders = [r.holder for r in rows.select("holder").distinct().orderBy("holder").collect()]  # a few holders
+    from annalist.sources.image import part_path
 
+    for n, holder in enumerate(holders):
+        write_image(part_path(base, n), catalogue=rows.where(F.col("holder").eqNullSafe(holder)))
+    return union_section(spark, parts(spark, base), "catalogue").select("entry_id", "title", "holder")
 
-@book("""with r as (select holder, entry_id, row_number() over (partition by holder order by entry_id) as local_row from catalogue)
- select holder, entry_id, local_row from r""")
+
+_PART = 700
+
+
+@book(f"""with p as (select entry_id, title, row_number() over (order by entry_id) place from catalogue), c as (select *, case when title is null then 0 else min(place) over (partition by title) end cl, (place - 1) // {_PART} part from p)
+ select entry_id, part, place - part * {_PART} as local_row, case when cl > part * {_PART} then cl - part * {_PART} else 0 end as local_cluster from c""")
 def cluster_rebase(spark, d):
-    """Rows numbered within their part, from numbers within ranges and the sizes of the ranges before."""
-    rows = catalogue(spark, d).select("holder", "entry_id")
-    ranged = rows.withColumn("range", F.floor(F.col("entry_id") / 4096))
-    before = ranged.groupBy("holder", "range").agg(F.count("*").alias("n"))
-    before = before.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("holder").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy("holder", "range").orderBy("entry_id"))
-    return ranged.withColumn("within", within).join(before.drop("n"), ["holder", "range"]).select("holder", "entry_id", (F.col("within") + F.col("before")).alias("local_row"))
+    """Rows by their place in their part; a row's cluster is the place of the first row of its title, if that part holds it."""
+    placed = order.numbered(catalogue(spark, d).select("entry_id", "title"), [F.col("entry_id")])
+    first = placed.where("title is not null").groupBy("title").agg(F.min("place").alias("cluster"))
+    rows = placed.join(first, "title", "left").select("entry_id", "place", F.coalesce("cluster", F.lit(0)).alias("cluster"))
+    local, _ = local_clusters(rows, _PART)
+    return local.select("entry_id", "part", (F.col("place") - F.col("part") * _PART).alias("local_row"), "local_cluster")
 
 
-_TALLY = f"{_HOLDINGS} select count(*) as lines, count(*) filter (bad) as malformed, count(*) filter (not bad and access = 'allow') as full_view, count(*) filter (not bad and title = '') as without_title, count(*) filter (not bad and creator = '') as without_creator, count(*) filter (not bad and y = '') as without_year from b"
+_TALLY = f"{_HOLDINGS.replace("trim(f[8], ' ') oclc", "trim(f[3], ' ') rights, trim(f[8], ' ') oclc")} select count(*) as lines, count(*) filter (bad) as malformed, count(*) filter (not bad) as rows, count(*) filter (not bad and rights in ('pd', 'pdus', 'world', 'cc-zero')) as public_domain, count(*) filter (not bad and regexp_extract(y, '(?:^|[^0-9])([0-9]{{4}})(?:$|[^0-9])', 1) between '0001' and '1899') as before_1900, count(*) filter (not bad and access = 'allow') as full_view, count(*) filter (not bad and title = '') as without_title, count(*) filter (not bad and creator = '') as without_creator, count(*) filter (not bad and y = '') as without_year from b"
 
 
 @book(_TALLY)
@@ -80,7 +88,8 @@ def holdings_tally(spark, d):
     bad = delimited.rejects(lines, delimited.HOLDINGS).select("record", F.lit(True).alias("bad"))
     good = F.col("bad").isNull()
     return lines.join(bad, "record", "left").agg(
-        F.count("*").alias("lines"), F.count_if(~good).alias("malformed"), F.count_if(good & (F.col("access") == "allow")).alias("full_view"),
+        F.count("*").alias("lines"), F.count_if(~good).alias("malformed"), F.count_if(good).alias("rows"), F.count_if(good & F.col("rights").isin("pd", "pdus", "world", "cc-zero")).alias("public_domain"),
+        F.count_if(good & read_year(F.col("year")).between(1, 1899)).alias("before_1900"), F.count_if(good & (F.col("access") == "allow")).alias("full_view"),
         F.count_if(good & (F.col("title") == "")).alias("without_title"), F.count_if(good & (F.col("author") == "")).alias("without_creator"), F.count_if(good & (F.col("year") == "")).alias("without_year"),
     )
 
@@ -134,8 +143,49 @@ def place_graph(spark, d):
 @book(f"{_LINKS}, r as (select a, b, row_number() over (partition by a order by b) n, count(*) over (partition by a) total from g) select a as place, b as neighbour, total from r where n <= 4")
 def links_from(spark, d):
     """Up to four neighbours of each place, the smallest first, with the number of all."""
-    by = _links(spark, d).groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("bs"))
-    return by.select(F.col("a").alias("place"), F.explode(F.slice("bs", 1, 4)).alias("neighbour"), F.size("bs").cast("long").alias("total"))
+    return places.neighbours(_links(spark, d).toDF("place", "neighbour"), 4)
+
+
+@book(f"{_LINKS} select a as place, b as neighbour, count(*) over (partition by a) as total from g")
+def links_all(spark, d):
+    return places.neighbours(_links(spark, d).toDF("place", "neighbour"))
+
+
+_RAW = """(case when starts_with({0}, '-') then -1 else 1 end) * ((regexp_extract({0}, '^[+-]?([0-9]+)', 1)::bigint) * 65536
+ + ((rpad(left(regexp_extract({0}, '[.]([0-9]+)$', 1), 9), 9, '0')::bigint * 65536 + 500000000) // 1000000000))"""
+_RESOLVED = f"""{_GAZETTEER}, k as (select id::bigint place, case when la <> '' then {_RAW.format('la')} end la_raw, case when lo <> '' then {_RAW.format('lo')} end lo_raw, try_cast(nullif(mi, '') as integer) mi, try_cast(nullif(ma, '') as integer) ma, row_number() over (partition by id::bigint order by record_no) n from b where not bad),
+ rp as (select place, coalesce(lo_raw, 0) x, coalesce(la_raw, 0) z, la_raw is not null and lo_raw is not null located, mi is not null and ma is not null dated, case when mi is not null and ma is not null then mi else 0 end min_year, case when mi is not null and ma is not null then ma else 0 end max_year from k where n = 1)"""
+
+
+def _resolved(spark, d):
+    valid = delimited.gazetteer_valid(delimited.gazetteer_records(table(spark, d, "gazetteer_raw")))
+    return places.resolved(valid.select("place").distinct(), valid)
+
+
+@book(f"{_RESOLVED} select place, x, z, located, dated, min_year, max_year from rp")
+def place_resolve(spark, d):
+    return _resolved(spark, d)
+
+
+@book(f"{_RESOLVED} select place, not dated or 300 between min_year and max_year as there from rp")
+def exists_in_year(spark, d):
+    return _resolved(spark, d).select("place", places.exists_in_year(F.lit(300)).alias("there"))
+
+
+@book("""with recursive q as (select file_no, record_no, record_text t from gazetteer_raw where record_text is not null), c as (select *, length(t) - length(replace(t, '"', '')) k from q)
+ select file_no, count(*) as records, sum(length(t))::bigint as chars from c where k % 2 = 0 and t not in ('', chr(13)) and file_no not in (select file_no from c where k % 2 = 1) group by file_no""")
+def csv_record(spark, d):
+    """The records of each gazetteer file, written one after another as the lines of a file and cut into records again.
+
+    Files in which a record leaves a quote open are left out: what follows it belongs to it by right.
+    """
+    rows = table(spark, d, "gazetteer_raw").where("record_text is not null").select("file_no", "record_no", F.col("record_text").alias("t"))
+    odd = rows.where((F.length("t") - F.length(F.replace("t", F.lit('"'), F.lit("")))) % 2 == 1).select("file_no").distinct()
+    whole = rows.join(odd, "file_no", "left_anti")
+    split = whole.select("file_no", "record_no", F.posexplode(F.split("t", "\n", -1)).alias("i", "text"))
+    lines = order.numbered(split, [F.col(c) for c in ("file_no", "record_no", "i")]).withColumn("line", F.col("place") - 1)
+    found = delimited.logical_records(lines, "file_no", "line", "text")
+    return found.groupBy(F.col("file").alias("file_no")).agg(F.count("*").alias("records"), F.sum(F.length("text")).alias("chars"))
 
 
 @book(f"{_LINKS} select a as place, b as neighbour from g where b in (select place from p)")
@@ -297,28 +347,76 @@ def normalise_name(spark, d):
     return _mentions(spark, d).select("mention_id", t.normalise_name(F.col("mention_name")).alias("norm"))
 
 
-@book("""with e as (select distinct least(left_id, right_id) a, greatest(left_id, right_id) b from candidates where left_id is not null and right_id is not null and left_id <> right_id)
- select a, b from e""")
+#: References as people note them: of an address the scheme, www., a trailing slash and a tracking parameter come and go.
+_NOTED = """case entry_id % 5 when 0 then address when 1 then 'http://www.' || regexp_replace(address, '^https://', '') || '/' when 2 then address || '?utm_source=list' when 3 then '<' || address || '>' else upper(address) end"""
+_NOTES = f"""n as (select entry_id id, creator as name, {_NOTED} as reference from catalogue union all select entry_id + 5000000000, title, address || '#top' from catalogue where entry_id % 7 = 0)"""
+_KEY = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(reference), '^[ <]+|[ >/.]+$', '', 'g'), '#.*$', ''), '^[a-z]{{0,8}}://', ''), '^www[.]|[?]utm_source=list$', '', 'g')"
+
+
+def _noted(spark, d):
+    rows = catalogue(spark, d)
+    e, address = F.col("entry_id"), F.col("address")
+    noted = (
+        F.when(e % 5 == 0, address).when(e % 5 == 1, F.concat(F.lit("http://www."), F.regexp_replace(address, "^https://", ""), F.lit("/"))).when(e % 5 == 2, F.concat(address, F.lit("?utm_source=list")))
+        .when(e % 5 == 3, F.concat(F.lit("<"), address, F.lit(">"))).otherwise(F.upper(address))
+    )
+    again = rows.where(e % 7 == 0).select((e + 5000000000).alias("id"), F.col("title").alias("name"), F.concat(address, F.lit("#top")).alias("reference"))
+    return rows.select(e.alias("id"), F.col("creator").alias("name"), noted.alias("reference")).unionByName(again)
+
+
+@book(f"with {_NOTES}, k as (select id, {_KEY} k from n where reference is not null), m as (select id, min(id) over (partition by k) b from k) select id as a, b from m where id <> b")
 def hard_key_join(spark, d):
-    pairs = table(spark, d, "candidates").where("left_id is not null and right_id is not null and left_id <> right_id")
-    return pairs.select(F.least("left_id", "right_id").alias("a"), F.greatest("left_id", "right_id").alias("b")).distinct()
+    """Handles of one reference, however it is noted: each with the least of them."""
+    return resolve.hard_links(_noted(spark, d), "id", "reference")
+
+
+_AUTO = 52428
+_ENTITY = f"""with recursive {_NOTES}, k as (select id, {_KEY} k from n where reference is not null), hd as (select id a, min(id) over (partition by k) b from k),
+ tk as (select id, {_TOKENS.format('name')} tk from n where name is not null), rp as (select tk, min(id) id from tk where len(tk) > 0 group by tk),
+ sm as (select a.id l, b.id r, {_JACCARD.format('a.tk', 'b.tk')} s from rp a join rp b on a.id < b.id where list_has_any(a.tk, b.tk) and {_JACCARD.format('a.tk', 'b.tk')} >= {PROPOSE} union all select least(rp.id, t.id), greatest(rp.id, t.id), 65536 from rp join tk t on t.tk = rp.tk and t.id <> rp.id)"""
+_COMPONENTS = """, u as (select a, b from e union select b, a from e union select id, id from n), reach(a, b) as (select a, b from u union select r.a, u.b from reach r join u on r.b = u.a), lb as (select a id, min(b) label from reach group by a)"""
+
+
+@book(f"{_ENTITY}, e as (select a, b from hd){_COMPONENTS} select id, label from lb")
+def resolve_entities(spark, d):
+    """Handles resolved to entities by their references alone, the default."""
+    return resolve.Resolution(_noted(spark, d)).labels
 
 
-@book("""select least(left_id, right_id) as a, greatest(left_id, right_id) as b, max(score_raw) as score from candidates where evidence in (2, 3) and left_id is not null and right_id is not null and left_id <> right_id group by 1, 2 order by score desc, a, b limit 100""")
+@book(f"{_ENTITY}, e as (select a, b from hd union select l, r from sm where s >= {_AUTO}){_COMPONENTS} select id, label from lb")
+def resolve_auto_merged(spark, d):
+    """Handles resolved by their references and by names that are similar enough."""
+    return resolve.Resolution(_noted(spark, d), auto_merge=_AUTO).labels
+
+
+@book(f"{_ENTITY}, e as (select a, b from hd){_COMPONENTS} select l as \"left\", r as \"right\", s as score, 2 as evidence from sm join lb x on x.id = l join lb y on y.id = r where x.label <> y.label")
+def resolve_proposals(spark, d):
+    """What is proposed but not merged, with its evidence; none of these names is an abbreviation of another."""
+    return resolve.Resolution(_noted(spark, d)).proposals.where("evidence = 2")
+
+
+@book("""with p as (select least(left_id, right_id) as a, greatest(left_id, right_id) as b, max(score_raw) as score from candidates where evidence in (2, 3) and left_id is not null and right_id is not null and left_id <> right_id group by 1, 2)
+ select a, b, score, row_number() over (order by score desc nulls last, a, b) as place from p""")
 def candidate_order(spark, d):
-    """The hundred firmest proposals, the firmest first."""
+    """All proposals with their places, the firmest first."""
     pairs = table(spark, d, "candidates").where("evidence in (2, 3) and left_id is not null and right_id is not null and left_id <> right_id")
     merged = pairs.groupBy(F.least("left_id", "right_id").alias("a"), F.greatest("left_id", "right_id").alias("b")).agg(F.max("score_raw").alias("score"))
-    return merged.orderBy(F.desc("score"), "a", "b").limit(100)
-
-
-@book("""with recursive e as (select distinct source_ref a, object_ref k from facts where source_ref is not null and object_ref is not null and predicate = 1102), u as (select distinct x.a, y.a b from e x join e y using (k)),
- reach(a, b) as (select a, b from u union select r.a, u.b from reach r join u on r.b = u.a) select a as source_id, min(b) as witness from reach group by a""")
-def witness_count(spark, d):
-    """Sources that share a reference are one witness. References are taken from a predicate of the facts."""
-    told = table(spark, d, "facts").where("source_ref is not null and object_ref is not null and predicate = 1102").select(F.col("source_ref").alias("a"), F.col("object_ref").alias("k")).distinct()
-    # Both kinds of node in one graph: references are negative numbers.
-    edges = told.select("a", (F.lit(-1) - F.col("k")).alias("b"))
-    roots = components(edges).where("node >= 0").toDF("source_id", "root")
-    least = roots.groupBy("root").agg(F.min("source_id").alias("witness"))
-    return roots.join(least, "root").select("source_id", "witness")
+    return order.numbered(merged, [F.desc_nulls_last("score"), F.col("a"), F.col("b")])
+
+
+_SHORTS = f"""nm as (select distinct {_NORM.format('creator')} norm from catalogue where creator is not null), nw as (select norm, string_split(norm, ' ') w from nm where norm <> ''),
+ ls as (select 2 * row_number() over (order by norm) id, norm name, list_transform(w, lambda x: x[1]) i, len(list_distinct(w[1:64])) k from nw), sh as (select distinct upper(array_to_string(list_filter(i, lambda c: regexp_matches(c, '[a-z]')), '')) name from ls where k between 3 and 8),
+ ss as (select 2 * row_number() over (order by name) + 1 id, name from sh)"""
+
+
+@book(f"""with {_SHORTS} select ss.id as short, ls.id as "long" from ss join ls on length(ss.name) between 2 and 8 and ls.k >= length(ss.name) and len(ls.i) > 1
+ and regexp_matches(array_to_string(ls.i, ''), '^.*' || array_to_string(list_transform(range(1, length(ss.name) + 1), lambda j: lower(ss.name)[j]), '.*') || '.*$')""")
+def abbrev_join(spark, d):
+    """Initials of bodies' names held against all names of creators: whose words begin with them, in their order?"""
+    norms = catalogue(spark, d).where("creator is not null").select(t.normalise_name(F.col("creator")).alias("name")).where("name <> ''").distinct()
+    longs = order.numbered(norms, [F.col("name")]).select((2 * F.col("place")).alias("id"), "name")
+    words = F.split("name", " ")
+    letters = F.filter(F.transform(words, lambda w: F.substring(w, 1, 1)), lambda c: c.rlike("[a-z]"))
+    some = longs.where(F.size(F.array_distinct(F.slice(words, 1, 64))).between(3, 8)).select(F.upper(F.array_join(letters, "")).alias("name")).distinct()
+    shorts = order.numbered(some, [F.col("name")]).select((2 * F.col("place") + 1).alias("id"), "name")
+    return abbreviations(longs.unionByName(shorts), "id", "name")
