@@ -1,13 +1,15 @@
 """The state of a table after a feed of inserts, updates and deletes.
 
 Each change is a patch: a function from a row (or none) to a row (or none). Patches compose, and composition is
-associative, so a feed is reduced as a tree: the changes are range-partitioned by key, time and number, the
-patches of each range are composed where they lie, and the few left for each key are composed with each other.
+associative, so a feed is reduced as a tree: the changes are range-partitioned by key and number, the patches of
+each range are composed where they lie, and the few left for each key are composed with each other.
 A key with any share of the feed leaves one composed patch for each range. The result is applied to the base.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,11 +48,11 @@ def iso_instant(text: Column) -> Column:
     return F.get(F.transform(F.array(groups), read), F.lit(0))
 
 
-def compose(changes: DataFrame, key: str, instant: str, number: str, deleted: str, payload: list[str], partial: bool = False) -> DataFrame:
+def compose(changes: DataFrame, key: str, instant: str, number: str, deleted: str, payload: list[str], partial: bool = False, read: Callable[[Column], Column] | None = None) -> DataFrame:
     """One composed patch for each key: key, deleted, and the payload.
 
-    The changes of a key follow `instant` (any orderable column, struct included), those of the same instant
-    follow `number`. A change with a null key or instant is not applied; a null `deleted` means not deleted; a null
+    The changes of a key follow `instant` (any orderable column, struct included; or what `read` makes of it, once
+    for each change), those of the same instant follow `number`. A change with a null key or instant is not applied; a null `deleted` means not deleted; a null
     number comes before all others. Repeated changes change nothing; of changes that agree in instant and number
     the greatest payload counts, so that the result is the same in every run. partial=False: a change replaces
     the whole row. partial=True: it sets only the columns that are not null, on what the changes before it left
@@ -59,7 +61,10 @@ def compose(changes: DataFrame, key: str, instant: str, number: str, deleted: st
     names = {f"v{i}": c for i, c in enumerate(payload)}
     patch = pick(changes, key=key, instant=instant, number=number, deleted=deleted, **names).where("key is not null and instant is not null")
     patch = patch.select("key", "instant", "number", F.coalesce("deleted", F.lit(False)).alias("deleted"), *names)
-    ordered = patch.repartitionByRange("key", "instant", "number").withColumn("chunk", F.spark_partition_id())
+    ordered = patch.repartitionByRange("key", "number").withColumn("chunk", F.spark_partition_id())
+    if read is not None:
+        # Behind the exchange, as the bounds of its ranges are drawn from a second scan of what is before it.
+        ordered = ordered.withColumn("instant", read(F.col("instant"))).where("instant is not null")
     when = F.struct("instant", "number")
     if not partial:
         steps = [F.struct(when.alias("at"), "deleted", *names).alias("patch")]
@@ -92,9 +97,9 @@ def apply_to(base: DataFrame, patches: DataFrame, key: str, payload: list[str])
     return joined.select(F.col("key").alias(key), *[F.when(F.col("hit"), F.col(f"v{i}")).otherwise(F.col(f"b{i}")).alias(c) for i, c in enumerate(payload)])
 
 
-def current_state(changes: DataFrame, key: str, instant: str, number: str, deleted: str, payload: list[str], base: DataFrame | None = None, partial: bool = False) -> DataFrame:
+def current_state(changes: DataFrame, key: str, instant: str, number: str, deleted: str, payload: list[str], base: DataFrame | None = None, partial: bool = False, read: Callable[[Column], Column] | None = None) -> DataFrame:
     """The table as it stands after all changes, from nothing or from `base`: key and payload."""
-    patches = compose(changes, key, instant, number, deleted, payload, partial)
+    patches = compose(changes, key, instant, number, deleted, payload, partial, read)
     if base is not None:
         return apply_to(base, patches, key, payload)
     return patches.where(~F.col("deleted")).select(key, *payload)

@@ -49,8 +49,7 @@ def p2_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _state(spark: SparkSession, sf_dir: str, payload: list[str]) -> DataFrame:
-    feed = table(spark, sf_dir, "oai_records").withColumn("instant", iso_instant(F.col("datestamp")))
-    return current_state(feed, "oai_identifier", "instant", "feed_seq", "deleted", payload)
+    return current_state(table(spark, sf_dir, "oai_records"), "oai_identifier", "datestamp", "feed_seq", "deleted", payload, read=iso_instant)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
