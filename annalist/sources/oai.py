@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import time
 import urllib.error
 import urllib.parse
@@ -10,7 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from annalist.functions.markup import attribute, elements, first_text, span
 
@@ -33,13 +34,21 @@ class Fetcher(Protocol):
     def sleep(self, seconds: int) -> None: ...
 
 
+MOST_REDIRECTS = 5
+
+
+class _Redirects(urllib.request.HTTPRedirectHandler):
+    max_redirections = MOST_REDIRECTS
+    max_repeats = MOST_REDIRECTS
+
+
 class HttpFetcher:
     def __init__(self, timeout: int = 60) -> None:
         self.timeout = timeout
 
     def get(self, url: str) -> Response:
         try:
-            with urllib.request.urlopen(url, timeout=self.timeout) as r:
+            with urllib.request.build_opener(_Redirects).open(url, timeout=self.timeout) as r:
                 return Response(r.status, r.read().decode("utf-8", "replace"))
         except urllib.error.HTTPError as e:
             wait = e.headers.get("Retry-After", "")
@@ -122,7 +131,8 @@ def harvest(fetcher: Fetcher, base: str, token: str = "", most_pages: int = 0, *
 class OaiSource(DataSource):
     """spark.read.format("oai").option("base", ...): options prefix, set, from, until, pages; as a stream, one page a step.
 
-    A harvest is a chain of pages, each named by the one before, so a read is one task; many sets are many reads.
+    A harvest is a chain of pages, each named by the one before, so one task. `set` takes several sets and `cuts` dates
+    between `from` and `until`, both separated by commas; each set and stretch of dates is a task of its own.
     """
 
     fetcher: type = HttpFetcher
@@ -145,12 +155,28 @@ def _request(options) -> dict[str, str]:
     return {"prefix": options.get("prefix", "oai_dc"), "set_": options.get("set", ""), "from_": options.get("from", ""), "until": options.get("until", "")}
 
 
+def _day_before(day: str) -> str:
+    return (datetime.date.fromisoformat(day) - datetime.timedelta(days=1)).isoformat()
+
+
+def stretches(options) -> list[dict[str, str]]:
+    """One request for each set and stretch of dates; bounds are inclusive, so a stretch ends the day before the next."""
+    whole = _request(options)
+    sets = [s.strip() for s in whole["set_"].split(",")] or [""]
+    cuts = sorted(c.strip() for c in options.get("cuts", "").split(",") if c.strip())
+    begins, ends = [whole["from_"], *cuts], [*(_day_before(c) for c in cuts), whole["until"]]
+    return [whole | {"set_": s, "from_": a, "until": b} for s in sets for a, b in zip(begins, ends)]
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options, fetcher) -> None:
         self.options, self.fetcher = dict(options), fetcher
 
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(r) for r in stretches(self.options)]
+
     def read(self, partition):
-        for records, _ in harvest(self.fetcher(), self.options["base"], self.options.get("token", ""), int(self.options.get("pages", 0)), **_request(self.options)):
+        for records, _ in harvest(self.fetcher(), self.options["base"], self.options.get("token", ""), int(self.options.get("pages", 0)), **partition.value):
             yield from records
 
 
