@@ -1,6 +1,6 @@
 import __spark_entry__ as entry
 from annalist.operators.facts import FactQuery, best, page
-from annalist.streaming import feeds
+from annalist.streaming import feeds, sinks
 
 
 def test_entry_and_registry(spark):
@@ -29,3 +29,23 @@ def test_followed_feed(spark, tmp_path):
         feeds.follow(stream, out, f"{tmp_path}/checkpoint", "key", "at", "n", "gone", ["value"]).trigger(availableNow=True).start().awaitTermination()
         state = {(r.key, r.value) for r in feeds.latest(spark, out, version, "gone").collect()}
     assert state == {("a", "x"), ("c", "z")}
+
+
+def test_catalogue_rolls_into_parts(spark, tmp_path):
+    """Two batches, the second run again: every row is there once, parts hold three rows each."""
+    source, base = f"{tmp_path}/in", f"file://{tmp_path}/catalogue"
+    for version, rows in enumerate([[(5, "e"), (1, "a")], [(2, "b"), (9, "i"), (3, "c")]]):
+        spark.createDataFrame(rows, "entry_id long, title string").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("entry_id long, title string").parquet(source)
+        checkpoint = f"{tmp_path}/checkpoint"
+        sinks.append_catalogue(stream, base, checkpoint, ["entry_id"], part_rows=3).trigger(availableNow=True).start().awaitTermination()
+        if version:
+            # As after a crash between the write and the commit.
+            (tmp_path / "checkpoint/commits/1").unlink()
+            (tmp_path / "checkpoint/commits/.1.crc").unlink(missing_ok=True)
+            sinks.append_catalogue(stream, base, checkpoint, ["entry_id"], part_rows=3).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.place, r.entry_id, r.part, r.batch) for r in sinks.catalogue(spark, base).collect())
+    assert got == [(1, 1, 0, 0), (2, 5, 0, 0), (3, 2, 0, 1), (4, 3, 1, 1), (5, 9, 1, 1)]
+    rows = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 1), (5, 4)], "place long, cluster long")
+    local, lost = sinks.local_clusters(rows, 3)
+    assert sorted((r.place, r.part, r.local_cluster) for r in local.collect()) == [(1, 0, 1), (2, 0, 1), (3, 0, 0), (4, 1, 0), (5, 1, 1)] and lost.first().lost == 1

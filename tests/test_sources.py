@@ -9,32 +9,34 @@ from annalist.operators.holdings import holdings_clusters
 from annalist.operators.setjoin import abbreviations, similar_pairs
 from annalist.sources import heights, markdown, oai, rdf, research, tei
 from annalist.sources.files import kind_of, read_tree
-from annalist.sources.image import Image, ImageRefused, write_image
+from annalist.sources.image import STATUS, Image, ImageRefused, part_path, parts, union_section, write_image
+from annalist.storage import Workspace
 
 TEI = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>On Bridges</title><author>A. Mason</author><editor>B. Clerk</editor></titleStmt>
 <sourceDesc><title>WRONG</title></sourceDesc></fileDesc><refsDecl><cRefPattern n="section"/><cRefPattern n="book"/></refsDecl></teiHeader><text><body>
 <div type="edition" xml:lang="lat" n="urn:cts:x:y.z"><div type="textpart" n="1"><div type="textpart" n="2"><p>First &amp; <placeName key="tgn,1">Roma</placeName> <date when="1863-05">May</date></p></div>
 <!-- <div type="textpart" n="9"> --><div n="10A" type="textpart"><p>Odd <date from="1863" to="1865" calendar="#j">x</date></p></div></div></div></body></text></TEI>"""
-REPORT = """# Replay
+REPORT = """# Tolls of the upper river
 
-*A run — 2026-08-06 09:30 — 6 steps*
+*Third survey, written 1999-12-30 by the canal office*
 
 ## Findings
 
-- [S1] Replay is exact.
-- [S2] [S9] The whole pipeline matters.
+- [S4] Barges paid by the yard.
+- [S7] [S11] [S4] Salt went free on feast days.
+- An opinion without a source.
 
 ## Sources
 
-- [S1] A study — <https://example.org/paper> (openalex) ✓
-- [S2] A page — <https://example.org/wiki> (wikipedia) ✗
-- [S3] ~~https://example.org/blocked~~ (failed)
+- [S4] Toll rolls (part two) — <https://rolls.example/7?p=2> (openalex) ✓
+- [S7] Letter of a skipper — <https://letters.example/a> (stackexchange) ?
+- [S8] ~~https://gone.example/x~~ (timeout)
 
-## Limits
+## Remarks
 
-- [S1] not read here
+- [S7] out of scope
 """
-NOTES = "# Rules 2021-03-04\n\n| `AAA-001` | the first |\n| AAA-002 | the second AAA-001 |\n\n## More\n\nSee AAA-001, AAA-009, SHA-256 and X-AAA-001. [^1]\n```\nAAA-001\n```\n\n[^1]: a note AAA-001\n## Next\n[^1] [^2]\n[^1]: another\n| AAA-001 | again |\n"
+NOTES = "# Bridges 1834-05-06\n\n| `BRD-017` | stone, two arches |\n| BRD-018 | timber, beside BRD-017 |\n\n## Repairs\n\nSee BRD-017, BRD-404, ISO-800 and Q-BRD-017. [^3]\n```\nBRD-017\n```\n\n[^3]: by the guild, like BRD-018\n## Dues\n[^3] [^4]\n[^3]: none\n| BRD-017 | once more |\n"
 RDF = """<rdf:RDF><pgterms:ebook rdf:about="ebooks/1"><dcterms:issued>1971-12-01</dcterms:issued><dcterms:title>A Title</dcterms:title><dcterms:creator><pgterms:agent><pgterms:name>One</pgterms:name><pgterms:birthdate>-484</pgterms:birthdate>
 <pgterms:deathdate>-430</pgterms:deathdate></pgterms:agent></dcterms:creator><dcterms:creator><pgterms:name>Two</pgterms:name><pgterms:birthdate>1743</pgterms:birthdate></dcterms:creator><marcrel:edt><pgterms:deathdate>1916</pgterms:deathdate></marcrel:edt><dcterms:language><rdf:value>en</rdf:value></dcterms:language></pgterms:ebook></rdf:RDF>"""
 
@@ -56,31 +58,44 @@ def test_tree_and_kinds(spark, tree):
 def test_tei(spark, tree):
     works = tei.read_works(read_tree(spark, tree, glob="*.xml")).cache()
     w = works.first()
-    assert (w.urn, w.title, w.author, w.editor, w.language, w.scheme) == ("urn:cts:x:y.z", "On Bridges", "A. Mason", "B. Clerk", "lat", "book.section")
+    assert (w.urn, w.title, w.author, w.editor, w.language, w.scheme) == ("urn:cts:x:y.z", "On Bridges", "A. Mason", "B. Clerk", "lat", "book/section")
     by = {r.path: (r.addressable, r.leaf, r.text) for r in tei.passages(works).collect()}
     assert by == {"1.2": (True, True, "First & Roma May"), "1.10A": (False, True, "Odd x"), "1": (True, False, None)}
     seen = {(r.kind, r.key, r.name, r.to_day - r.from_day if r.from_day is not None else None) for r in tei.mentions(works).collect()}
     assert seen == {("place", "tgn,1", "Roma", None), ("date", None, "May", 30)}
     assert tei.twins(works.union(works)).count() == 1
+    made = tei.facts(works).collect()
+    assert sorted(r.predicate for r in made) == [1201, 1202, 1203, 1205, 1205, 1206, 1207, 1208, 1210]
+    dated = next(r for r in made if r.predicate == 1210)
+    assert dated.object == dated.subject and dated.locus == "1.2" and dated.to_day - dated.from_day == 30
+    both = spark.createDataFrame([("a", TEI), ("b", TEI)], "canonical string, body string")
+    with pytest.raises(tei.TwinWorks, match="urn:cts:x:y.z"):
+        tei.ingest(both, Workspace(spark, "twins"))
+    cut = tei.passages(tei.read_works(both.limit(1), most_text=5)).where("cut").first()
+    assert cut.text == "First"
 
 
 def test_research(spark, tree):
     reports = read_tree(spark, tree, glob="report.md").select(F.col("canonical").alias("doc"), "body")
     t = research.tally(reports).first()
     assert (t.findings, t.orphans, t.sources, t.unreadable, t.reachable, t.dated) == (2, 1, 3, 1, 1, 1)
-    assert {r.confidence_raw for r in research.rests_on(reports).where("not orphan").collect()} == {52429, 36045}
-    assert research.facts(reports).groupBy("predicate").count().count() == 5
+    assert {(r.tag, r.confidence_raw) for r in research.rests_on(reports).where("not orphan").collect()} == {("S4", 52429), ("S7", 26214)}
+    h = research.heads(reports).first()
+    assert (h.topic, h.to_day - h.from_day) == ("Tolls of the upper river", 364)
+    assert {r.predicate: r["count"] for r in research.facts(reports).groupBy("predicate").count().collect()} == {1101: 2, 1102: 3, 1103: 2, 1104: 3, 1002: 3, 1106: 1, 1105: 1}
 
 
 def test_markdown(spark):
-    docs = spark.createDataFrame([("a", NOTES), ("b", "AAA-002 and [^3]"), ("c", "")], "doc string, body string")
+    docs = spark.createDataFrame([("a", NOTES), ("b", "BRD-018 and [^9]"), ("c", "")], "doc string, body string")
     scanned = markdown.lines(docs)
     found = markdown.resolve(markdown.references(scanned)).cache()
     r = markdown.report(docs, scanned, found).first()
-    assert (r.documents, r.definitions, r.duplicates, r.dangling, r.unknown_scheme, r.first_dangling) == (3, 2, 1, 1, 1, "AAA-009")
+    assert (r.documents, r.definitions, r.duplicates, r.dangling, r.unknown_scheme, r.first_dangling, r.first_duplicate) == (3, 2, 1, 1, 1, "BRD-404", "BRD-017")
     assert (r.footnotes, r.footnote_citations, r.dangling_footnotes, r.footnote_noise, r.dated) == (2, 3, 1, 1, 1)
     facts = markdown.facts(found).groupBy("predicate").count().collect()
     assert {x.predicate: x["count"] for x in facts} == {1001: 4, 1002: 5, 1003: 4}
+    d = {x.name: (x.defined_in, x.citations, x.documents) for x in markdown.definitions(found).collect()}
+    assert d["BRD-017"] == ("a", 2, 1) and d["BRD-018"] == ("a", 1, 1)
 
 
 def test_rdf(spark):
@@ -121,6 +136,8 @@ def test_oai_pages():
     with pytest.raises(ValueError):
         oai.parse_page("<html/>")
     assert oai.list_url("http://x", set_="a b", token="") == "http://x?verb=ListRecords&metadataPrefix=oai_dc&set=a%20b"
+    many = oai.stretches({"set": "a, b", "from": "2020-01-01", "cuts": "2020-03-01,2020-02-01"})
+    assert [(r["set_"], r["from_"], r["until"]) for r in many][:3] == [("a", "2020-01-01", "2020-01-31"), ("a", "2020-02-01", "2020-02-29"), ("a", "2020-03-01", "")] and len(many) == 6
     stream = oai._StreamReader({"base": "http://x"}, Scripted)
     at, seen = stream.initialOffset(), []
     for _ in range(5):
@@ -165,8 +182,23 @@ def test_images(spark, tmp_path):
     facts.limit(1).write.mode("overwrite").parquet(f"{path}/facts")
     with pytest.raises(ImageRefused, match="size"):
         Image(spark, path)
-    with pytest.raises(ImageRefused, match="manifest"):
+    with pytest.raises(ImageRefused, match="manifest") as refused:
         Image(spark, f"{tmp_path}/none")
+    assert refused.value.status in STATUS
+
+
+def test_parts_of_images(spark, tmp_path):
+    base = f"file://{tmp_path}/whole"
+    for n in (0, 1, 3):
+        write_image(part_path(base, n), catalogue=spark.createDataFrame([(n * 10 + i, f"t{i}") for i in range(3)], "entry_id long, title string"))
+    assert part_path(base, 12).endswith("whole.part012")
+    with pytest.raises(ImageRefused, match="missing part"):
+        parts(spark, base)
+    found = [base, part_path(base, 1)]
+    assert parts(spark, base, probe=0) == found
+    assert union_section(spark, found, "catalogue").count() == 6 and union_section(spark, found, "facts") is None
+    image = Image(spark, base)
+    assert image.at("catalogue", 2, ["entry_id"]).first().entry_id == 1 and image.at("catalogue", 4, ["entry_id"]).count() == 0 == image.at("loci", 1, ["x"]).count()
 
 
 def test_components_and_holdings(spark):
