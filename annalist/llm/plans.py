@@ -96,21 +96,21 @@ def p8_used(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).used().select(F.col("source").alias("doc_source"), F.col("id").alias("doc_id"), "repeats", "tokens")
 
 
-def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+def _quality(spark: SparkSession, sf_dir: str, *rules: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), "doc_id", "text", rules).withColumnRenamed("id", "doc_id")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _quality(spark, sf_dir).where(F.size("sentences") > 0).select("doc_id")
+    return _quality(spark, sf_dir, "sentences").where(F.size("sentences") > 0).select("doc_id")
 
 
 def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _quality(spark, sf_dir).withColumn("reasons", F.concat_ws("; ", "sentences")).drop("sentences", "published")
+    return _quality(spark, sf_dir, "published", "sentences").withColumn("reasons", F.concat_ws("; ", "sentences")).drop("sentences", "published")
 
 
 def p9_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict by the published rules for web pages, one row for each document."""
-    return _quality(spark, sf_dir).select("doc_id", "tokens", "stop_words", F.concat_ws("; ", "published").alias("reasons"))
+    return _quality(spark, sf_dir, "published").select("doc_id", "tokens", "stop_words", F.concat_ws("; ", "published").alias("reasons"))
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_matches, p5_found, p5_groups, p7_found, p7_containers, p7_filling, p8_found, p8_report, p8_used, p9_found, p9_statistics, p9_published)}

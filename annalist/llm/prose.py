@@ -40,14 +40,12 @@ PUBLISHED_WORDS, PUBLISHED_LENGTHS = (50, 100_000), (3.0, 10.0)
 PUBLISHED_SYMBOLS, PUBLISHED_BULLETS, PUBLISHED_ELLIPSES, PUBLISHED_LETTERS = 0.1, 0.9, 0.3, 0.8
 STOP_WORDS = "the be to of and that have with".split()
 LEAST_STOP_WORDS = 2
-RULES = ("sentences", "published")
 #: Accented letters and what they are counted as.
 _ACCENTED, _PLAIN = "àâäáãéèêëíîïìóôöòõúùûüçñÿ", "aaaaaeeeeiiiiooooouuuucny"
 ACCENTS = str.maketrans(_ACCENTED, _PLAIN)
 
 COUNTS = ("words", "lines", "tokens", "stop_words")
 SHARES = ("mean_word_length", "symbol_ratio", "inner_capitals", "punctuated_lines", "bullet_lines", "ellipsis_lines", "hash_ratio", "lettered", "token_length")
-SCHEMA = ", ".join(["id long", *(f"{c} long" for c in COUNTS), *(f"{c} double" for c in SHARES), "common_share double", "common_language string", *(f"{r} array<string>" for r in RULES)])
 
 
 def _ratio(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -58,8 +56,8 @@ def _length(texts: pa.Array) -> np.ndarray:
     return pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def measure(texts: pa.Array) -> dict[str, np.ndarray]:
-    """The statistics of a batch of texts, null taken as empty."""
+def measure(texts: pa.Array, published: bool = True) -> dict[str, np.ndarray]:
+    """The statistics of a batch of texts, null taken as empty; those that only the published rules use if asked for."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     n = len(texts)
     plain = pc.replace_substring_regex(texts, r"\p{M}+", "")
@@ -78,38 +76,19 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     known = word.dictionary_encode()
     spelled = [w.translate(ACCENTS) for w in known.dictionary.to_pylist()]
     at = known.indices.to_numpy(zero_copy_only=False)
-    listed = set(STOP_WORDS)
-    stop = np.fromiter((w in listed for w in spelled), dtype=bool, count=len(spelled))
-    hit = stop[at] if len(at) else np.zeros(0, dtype=bool)
-    # Each stop word counts once for a text.
-    pairs = np.unique(of[hit].astype(np.int64) * max(1, len(spelled)) + at[hit]) // max(1, len(spelled))
     shares = {}
     for language, listed in COMMON.items():
         listed = set(listed.split())
         hit = np.fromiter((w in listed for w in spelled), dtype=bool, count=len(spelled))
         shares[language] = _ratio(np.bincount(of[hit[at]] if len(at) else of, minlength=n), words)
-    # Words as the published rules take them: whatever stands between blanks.
-    token, of_token = flat(pc.split_pattern_regex(texts, r"[\s\p{Z}]+"))
-    solid_token = pc.not_equal(token, "").to_numpy(zero_copy_only=False)
-    token, of_token = token.filter(pa.array(solid_token)), of_token[solid_token]
-    tokens = np.bincount(of_token, minlength=n)
-    lettered = pc.match_substring_regex(token, r"\p{L}").to_numpy(zero_copy_only=False)
-    marks = pc.count_substring_regex(texts, r"#|\.\.\.|…").to_numpy(zero_copy_only=False)
     line, of_line = flat(pc.split_pattern_regex(texts, r"[\r\n]+"))
     full = pc.match_substring_regex(line, r"[^\s]").to_numpy(zero_copy_only=False)
     line, of_line = line.filter(pa.array(full)), of_line[full]
     lines = np.bincount(of_line, minlength=n)
     ends = pc.match_substring_regex(line, r"[.!?;:…][\"'”’»)\]]*\s*$").to_numpy(zero_copy_only=False)
     bullet = pc.match_substring_regex(line, r"^\s*(?:[-*•‣–—]|\d{1,4}[.)]|\[\d+\])\s").to_numpy(zero_copy_only=False)
-    trails = pc.match_substring_regex(line, r"(?:\.\.\.|…)\s*$").to_numpy(zero_copy_only=False)
-    return {
+    found = {
         "words": words,
-        "tokens": tokens,
-        "token_length": _ratio(np.bincount(of_token, weights=_length(token), minlength=n), tokens),
-        "stop_words": np.bincount(pairs, minlength=n),
-        "hash_ratio": _ratio(marks, tokens),
-        "lettered": _ratio(np.bincount(of_token[lettered], minlength=n), tokens),
-        "ellipsis_lines": _ratio(np.bincount(of_line[trails], minlength=n), np.bincount(of_line, minlength=n)),
         "mean_word_length": _ratio(letters, words),
         "symbol_ratio": _ratio(symbols, _length(solid)),
         "inner_capitals": _ratio(inner, words),
@@ -117,51 +96,90 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
         "punctuated_lines": _ratio(np.bincount(of_line[ends], minlength=n), lines),
         "bullet_lines": _ratio(np.bincount(of_line[bullet], minlength=n), lines),
     } | {f"common_{k}": v for k, v in shares.items()}
+    if not published:
+        return found
+    listed = set(STOP_WORDS)
+    stop = np.fromiter((w in listed for w in spelled), dtype=bool, count=len(spelled))
+    hit = stop[at] if len(at) else np.zeros(0, dtype=bool)
+    # Each stop word counts once for a text.
+    pairs = np.unique(of[hit].astype(np.int64) * max(1, len(spelled)) + at[hit]) // max(1, len(spelled))
+    # Words as the published rules take them: whatever stands between blanks.
+    token, of_token = flat(pc.split_pattern_regex(texts, r"[\s\p{Z}]+"))
+    solid_token = pc.not_equal(token, "").to_numpy(zero_copy_only=False)
+    token, of_token = token.filter(pa.array(solid_token)), of_token[solid_token]
+    tokens = np.bincount(of_token, minlength=n)
+    lettered = pc.match_substring_regex(token, r"\p{L}").to_numpy(zero_copy_only=False)
+    marks = pc.count_substring_regex(texts, r"#|\.\.\.|…").to_numpy(zero_copy_only=False)
+    trails = pc.match_substring_regex(line, r"(?:\.\.\.|…)\s*$").to_numpy(zero_copy_only=False)
+    return found | {
+        "tokens": tokens,
+        "token_length": _ratio(np.bincount(of_token, weights=_length(token), minlength=n), tokens),
+        "stop_words": np.bincount(pairs, minlength=n),
+        "hash_ratio": _ratio(marks, tokens),
+        "lettered": _ratio(np.bincount(of_token[lettered], minlength=n), tokens),
+        "ellipsis_lines": _ratio(np.bincount(of_line[trails], minlength=n), lines),
+    }
+
+
+def _outside(values: np.ndarray, bounds: tuple[float, float]) -> np.ndarray:
+    return (values < bounds[0]) | (values > bounds[1])
+
+
+def _sentences(m: dict[str, np.ndarray], enough: np.ndarray) -> dict[str, np.ndarray]:
+    return {
+        "no words": m["words"] == 0,
+        "common words are rare": ~enough.any(axis=0),
+        "symbols": m["symbol_ratio"] > MOST_SYMBOLS,
+        "capitals inside words": m["inner_capitals"] > MOST_INNER_CAPITALS,
+        "word length": _outside(m["mean_word_length"], WORD_LENGTHS),
+        "bullets": (m["bullet_lines"] > MOST_BULLETS) & (m["punctuated_lines"] < 0.1) & (m["lines"] > 3),
+    }
 
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        m = measure(batch.column("text"))
-        languages = list(COMMON)
-        shares = np.stack([m[f"common_{k}"] for k in languages])
-        enough = np.stack([shares[i] >= LEAST_COMMON[k] for i, k in enumerate(languages)])
-        # The language is the one furthest above its own threshold.
-        best = np.argmax(shares / np.array([[LEAST_COMMON[k]] for k in languages]), axis=0)
-        outside = lambda c, bounds: (m[c] < bounds[0]) | (m[c] > bounds[1])
-        rules = {
-            "sentences": {
-                "no words": m["words"] == 0,
-                "common words are rare": ~enough.any(axis=0),
-                "symbols": m["symbol_ratio"] > MOST_SYMBOLS,
-                "capitals inside words": m["inner_capitals"] > MOST_INNER_CAPITALS,
-                "word length": outside("mean_word_length", WORD_LENGTHS),
-                "bullets": (m["bullet_lines"] > MOST_BULLETS) & (m["punctuated_lines"] < 0.1) & (m["lines"] > 3),
-            },
-            "published": {
-                "word count": outside("tokens", PUBLISHED_WORDS),
-                "word length": outside("token_length", PUBLISHED_LENGTHS),
-                "symbols to words": m["hash_ratio"] > PUBLISHED_SYMBOLS,
-                "bullets": m["bullet_lines"] > PUBLISHED_BULLETS,
-                "ellipses": m["ellipsis_lines"] > PUBLISHED_ELLIPSES,
-                "words without letters": m["lettered"] < PUBLISHED_LETTERS,
-                "stop words": m["stop_words"] < LEAST_STOP_WORDS,
-            },
-        }
-        columns = {"id": batch.column("id")} | {c: pa.array(m[c], pa.int64()) for c in COUNTS} | {c: pa.array(m[c], pa.float64()) for c in SHARES}
-        columns |= {"common_share": pa.array(shares[best, np.arange(batch.num_rows)]), "common_language": pa.array([languages[b] for b in best], pa.string())}
-        for name, tests in rules.items():
-            failed, reasons = np.stack(list(tests.values())), list(tests)
-            columns[name] = pa.array([[reasons[i] for i in np.flatnonzero(failed[:, j])] for j in range(batch.num_rows)], pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-
-def quality(documents: DataFrame, id: str, text: str) -> DataFrame:
+def _published(m: dict[str, np.ndarray], _: np.ndarray) -> dict[str, np.ndarray]:
+    return {
+        "word count": _outside(m["tokens"], PUBLISHED_WORDS),
+        "word length": _outside(m["token_length"], PUBLISHED_LENGTHS),
+        "symbols to words": m["hash_ratio"] > PUBLISHED_SYMBOLS,
+        "bullets": m["bullet_lines"] > PUBLISHED_BULLETS,
+        "ellipses": m["ellipsis_lines"] > PUBLISHED_ELLIPSES,
+        "words without letters": m["lettered"] < PUBLISHED_LETTERS,
+        "stop words": m["stop_words"] < LEAST_STOP_WORDS,
+    }
+
+
+RULES = {"sentences": _sentences, "published": _published}
+
+
+def quality(documents: DataFrame, id: str, text: str, rules: tuple[str, ...] = ("published", "sentences")) -> DataFrame:
     """The statistics of each document, and by each set of rules the reasons why it is no natural prose: none, and it is.
 
     Every row of `documents` gives a row, repeated and null ids included; further columns are ignored. A null or
     blank text has no words and is no prose. Texts are taken whole, whatever their length; composed and
     decomposed letters count alike. The language is not taken from the table but from the common words; the stop
-    words of the published rules are those of English.
+    words of the published rules are those of English. Statistics that only the published rules use are left out if
+    `rules` does not name them.
     """
+    published = "published" in rules
+    counts = COUNTS if published else COUNTS[:2]
+    shares = SHARES if published else SHARES[:5]
+    schema = ", ".join(["id long", *(f"{c} long" for c in counts), *(f"{c} double" for c in shares), "common_share double", "common_language string", *(f"{r} array<string>" for r in rules)])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = measure(batch.column("text"), published)
+            languages, rows = list(COMMON), np.arange(batch.num_rows)
+            common = np.stack([m[f"common_{k}"] for k in languages])
+            enough = np.stack([common[i] >= LEAST_COMMON[k] for i, k in enumerate(languages)])
+            # The language is the one furthest above its own threshold.
+            best = np.argmax(common / np.array([[LEAST_COMMON[k]] for k in languages]), axis=0)
+            columns = {"id": batch.column("id")} | {c: pa.array(m[c], pa.int64()) for c in counts} | {c: pa.array(m[c], pa.float64()) for c in shares}
+            columns |= {"common_share": pa.array(common[best, rows]), "common_language": pa.array([languages[b] for b in best], pa.string())}
+            for name in rules:
+                tests = RULES[name](m, enough)
+                failed, reasons = np.stack(list(tests.values())), list(tests)
+                columns[name] = pa.array([[reasons[i] for i in np.flatnonzero(failed[:, j])] for j in rows], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
     narrow = pick(documents, id=id, text=text).select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(_judge, SCHEMA)
+    return narrow.mapInArrow(judge, schema)

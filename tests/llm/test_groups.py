@@ -40,3 +40,15 @@ def test_no_links(spark):
     assert run(spark, [], [1]) == set() and run(spark, [(1, None), (2, 2)], [1, 2]) == set()
     one = representatives(spark.createDataFrame([(3,), (None,), (3,)], "m long"), "m", spark.createDataFrame([], "a long, b long"), "a", "b")
     assert [tuple(x) for x in one.collect()] == [(3, 3)]
+
+
+def test_a_hub_links_a_third_of_all(spark):
+    """One mention linked with very many, and chains that hang on it: joins on its label are split, and all have one root."""
+    pairs = [(5, 1000 + i) for i in range(6000)] + [(1000 + i, 20000 + i) for i in range(0, 6000, 3)] + [(30000 + 2 * i, 30001 + 2 * i) for i in range(4000)]
+    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "1k")
+    try:
+        got = run(spark, pairs, sorted({x for p in pairs for x in p}))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes")
+    assert len(got) == 1 + 6000 + 2000 + 8000 and {label for node, label in got if node < 30000} == {5}
+    assert all(label == node - node % 2 for node, label in got if node >= 30000)
