@@ -125,3 +125,21 @@ def test_two_slips_in_a_name_that_others_spell_right(spark):
     a = spark.createDataFrame(authors + [(20, "Ursula  Schespylin", None, None)], "id long, name string, from_year int, to_year int")
     got = {(r.id_a, r.id_b) for r in variant_pairs(a, spark.createDataFrame([], "id long, name string, year int")).collect()}
     assert {(0, 10), (10, 11), (10, 12), (10, 20), (3, 11)} <= got and (0, 12) not in got
+
+
+@pytest.mark.parametrize(
+    "name, body, key, first, second",
+    [
+        ("Musheim, Nathaniel de", False, "musheim", "nathaniel", None), ("Nathaniel de Musheim", False, "musheim", "nathaniel", None), ("Bdroomann, Katherine van der [author]", False, "bdroomann", "katherine", None),
+        ("Socpiov, Samuel Robert de", False, "socpiov", "samuel", "robert"), ("Velsok, Smithian Museum, The", True, "museum", "vel-smi", None), ("Museum of Mines (the)", True, "mines", "mus", None), ("Inst. of the Arts, de", True, "arts", "ins", None), ("of the and", True, "and", "of-the", None),
+    ],
+)
+def test_surnames_like_words_of_organisations(name, body, key, first, second):
+    given = {w: w for w in ("nathaniel", "katherine", "samuel", "robert")}
+    assert parse(plain(name), given)[:4] == (body, key, first, second)
+
+
+def test_a_surname_like_an_organisation_meets_its_variants(spark):
+    a = spark.createDataFrame([(i, n, 1600, 1660) for i, n in enumerate(["Musheim, Nathaniel de", "Nathaniel de Musheim", "Brennert, Nathaniel", "Museum of Mines, the", "Museum of Mines"])], "id long, name string, from_year int, to_year int")
+    w = spark.createDataFrame([(101, "de Musheim, N.", 1640)], "id long, name string, year int")
+    assert {(0, 1), (0, 101), (1, 101), (3, 4)} <= {(r.id_a, r.id_b) for r in variant_pairs(a, w).collect()}
