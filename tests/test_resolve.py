@@ -140,3 +140,19 @@ def test_clusters_need_a_shared_folder(spark):
     with pytest.raises(ValueError, match="shared|share"):
         shared_dir(Session())
     assert shared_dir(spark)
+
+
+def test_texts_of_all_lengths_are_folded_side_by_side(spark):
+    r = random.Random(9)
+    texts = {i: "".join(r.choices("aé\n€x ", k=r.choice([1, 7, 300]))) for i in range(60)} | {60: "long line\n" * 20_000, 61: "ab" * 100_001}
+
+    def fnv(words):
+        h = 2166136261
+        for w in words:
+            h = (h ^ w) * 16777619 & 0xFFFFFFFF
+        return h
+
+    docs = spark.createDataFrame(list(texts.items()), "d int, t string").coalesce(1)
+    got = {x.d: x.f for x in docs.select("d", folds.fold_text(F.col("t")).alias("f")).collect()}
+    assert got == {d: fnv([*t.encode(), t.count("\n") + 1, len(t.encode())]) for d, t in texts.items()}
+    assert list(folds._folded([])) == []
