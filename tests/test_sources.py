@@ -223,3 +223,35 @@ def test_similar_names_are_all_found(spark):
     assert got == want
     short = spark.createDataFrame([(1, "WHO"), (2, "World Health Organization"), (3, "OW"), (4, None), (5, "")], "id long, name string")
     assert [tuple(r) for r in abbreviations(short, "id", "name").collect()] == [(1, 2)]
+
+
+def test_names_that_share_frequent_words_do_not_meet(spark):
+    from annalist.operators import setjoin
+
+    names = spark.range(400).selectExpr("id", "concat('essays studies n', id) as name")
+    ranks = names.selectExpr("id", "array(id, 1000L, 1001L) as ranks")
+    keys = setjoin._keys(ranks, setjoin.PROPOSE)
+    # Two words of three are not enough, so none stands under the two that all have.
+    assert keys.where(f"k = {(1000 << 32) + 1001}").where("n between least and most and twin").count() == 0
+    assert setjoin.similar_pairs(names, "id", "name").count() == 0
+
+
+def test_similar_names_at_all_thresholds(spark):
+    import random
+    from itertools import combinations
+
+    from annalist.operators.setjoin import similar_pairs
+
+    r = random.Random(5)
+    sets = {i: frozenset(r.sample("abcdefghij", r.choice([1, 1, 2, 3, 4, 6, 9]))) for i in range(140)}
+    least = {}
+    for i, x in sets.items():
+        least.setdefault(x, i)
+    names = spark.createDataFrame([(i, " ".join(x)) for i, x in sets.items()], "id long, name string")
+    for threshold in (4000, 20000, 36045, 52428, 65536):
+        want = {(least[x], i, 65536) for i, x in sets.items() if least[x] != i}
+        for x, y in combinations(least, 2):
+            score = len(x & y) * 65536 // len(x | y)
+            if x & y and score >= threshold:
+                want.add((*sorted((least[x], least[y])), score))
+        assert sorted(tuple(p) for p in similar_pairs(names, "id", "name", threshold).collect()) == sorted(want)
