@@ -42,6 +42,18 @@ def test_resolution(spark):
     assert resolve.Resolution(rows.limit(0)).labels.count() == 0
 
 
+def test_names_are_compared_only_for_what_is_asked(spark, monkeypatch):
+    asked, plain = [], resolve.similar_pairs
+    monkeypatch.setattr(resolve, "similar_pairs", lambda rows, id, name, least: asked.append(least) or plain(rows, id, name, least))
+    rows = spark.createDataFrame(HANDLES, "id long, name string, reference string")
+    found = resolve.Resolution(rows)
+    assert found.labels.count() == 7 and asked == []
+    assert found.proposals.count() == 5 and asked == [resolve.PROPOSE]
+    assert resolve.Resolution(rows, auto_merge=49152).labels.count() == 7 and asked == [resolve.PROPOSE, 49152]
+    # What scores as just proposed merges abbreviations too.
+    assert {r.label for r in resolve.Resolution(rows, auto_merge=resolve.PROPOSE).labels.where("id in (1, 2, 3, 4)").collect()} == {1}
+
+
 def test_witnesses_and_agreements(spark):
     r = random.Random(4)
     refs = {i: r.choice([None, "a.example/x", "http://www.a.example/x/", "b.example", ""]) for i in range(12)}
