@@ -395,10 +395,10 @@ def relief_field(spark, d):
  select tile_z::int as tile_z, tile_x::int as tile_x, cells, (case when tile_x = 0 then 1 else 0 end) + (case when tile_x = lc // 16 then 2 else 0 end) + (case when tile_z = 0 then 4 else 0 end) + (case when tile_z = lr // 16 then 8 else 0 end) as edges,
  'survey.L0.e' || lpad(tile_x::varchar, 5, '0') || '.s' || lpad(tile_z::varchar, 5, '0') || '.tile' as file, 'line items' as attribution, (select count(*) from rd x where x.r // 16 = tile_z and x.c // 16 = tile_x) as samples from ti, s2 where cells > 0""")
 def relief_bake(spark, d):
-    """A raster reduced, cut, written as tiles and read again: the plan of the tiles with the samples that each file holds."""
+    """A raster reduced, cut, written as tiles and read again: the plan of the tiles with the samples that each holds."""
     path = Workspace(spark, "survey").root
     plan = raster.bake(_cells(spark, d), path, 2, 16, "line items")
-    held = spark.read.parquet(path).groupBy("tile_z", "tile_x").agg(F.count("*").alias("samples"))
+    held = spark.read.parquet(path).select("tile_z", "tile_x", F.size("samples").cast("long").alias("samples"))
     return plan.join(held, ["tile_z", "tile_x"])
 
 

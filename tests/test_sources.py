@@ -255,3 +255,16 @@ def test_similar_names_at_all_thresholds(spark):
             if x & y and score >= threshold:
                 want.add((*sorted((least[x], least[y])), score))
         assert sorted(tuple(p) for p in similar_pairs(names, "id", "name", threshold).collect()) == sorted(want)
+
+
+def test_baked_tiles_share_files(spark, tmp_path):
+    from pathlib import Path
+
+    cells = spark.range(120).selectExpr("cast(id as int) as row", "cast(id * 2 as int) as col", f"if(id % 10 < 4, {raster.VOID}, cast(id as int)) as m")
+    path = str(tmp_path / "survey")
+    plan = raster.bake(cells, path, 2, 4, "test")
+    small = raster.reduce(cells, 2)
+    assert {tuple(r) for r in plan.select("tile_z", "tile_x", "cells", "edges").collect()} == {tuple(r) for r in raster.tiles(small, 4).collect()}
+    want = {tuple(r) for r in raster.field(small, 4, 0).select("tile_z", "tile_x", "row", "col", "m").collect()}
+    assert {tuple(r) for r in spark.read.parquet(path).selectExpr("tile_z", "tile_x", "inline(samples)").collect()} == want
+    assert len(list(Path(path).rglob("*.parquet"))) < plan.count()
